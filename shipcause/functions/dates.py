@@ -108,3 +108,7 @@ def ordered_days(a: Column, b: Column) -> tuple[Column, Column]:
 
 def day_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
+
+
+def month_text(c: str | Column) -> Column:
+    return F.date_format(column(c), "yyyy-MM")

@@ -7,15 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipcause.fixed import FEEDBACK_TAGS, LATE_AFTER_MICROS
-from shipcause.functions.dates import hours_between, micros_between, minutes_between, strict_timestamp
+from shipcause.functions.dates import hours_between, micros_between, minutes_between, month_text, strict_timestamp
 from shipcause.functions.values import as_double
-from shipcause.operators.causes import MODEL_RULES, Rule, needles
+from shipcause.operators.causes import (
+    CLI_RULES,
+    CLI_TEXT_FIELDS,
+    MODEL_RULES,
+    MODEL_TEXT_FIELDS,
+    Rule,
+    infer_causes,
+    infer_causes_cli,
+    needles,
+    rule_columns,
+)
 from shipcause.operators.feedback import MAX_TEXT_CHARS, feedback_summary_cli, feedback_summary_model, feedback_text
 from shipcause.operators.firsts import first_row_per_key, first_value_per_key, worst_factor
 from shipcause.schemas import FACT_COLUMNS, SEQ
 
 Tables = Mapping[str, DataFrame]
 
+MONTH = "order_month"
 WAREHOUSE_DIM_COLUMNS = {"warehouse_name", "warehouse_city", "warehouse_state"}
 
 
@@ -93,7 +104,7 @@ def build_fact(
 def _model_fact(
     tables: Tables, columns: Sequence[str] | None, rules: Sequence[Rule], max_text_chars: int
 ) -> DataFrame:
-    wanted = list(columns) if columns else [*FACT_COLUMNS, "feedback_needles"]
+    wanted = list(columns) if columns else [*FACT_COLUMNS, MONTH, "feedback_needles"]
     need = set(wanted)
 
     orders = tables["raw_orders"]
@@ -125,6 +136,7 @@ def _model_fact(
         {
             "amount": as_double(tables["raw_orders"], "amount"),
             **delay_columns("model"),
+            MONTH: month_text("order_date"),
             "transit_hours": transit_hours(),
             "picking_minutes": picking_minutes(),
             "dispatch_lag_minutes": dispatch_lag_minutes(),
@@ -163,3 +175,21 @@ def _cli_fact(tables: Tables, columns: Sequence[str] | None, tags: dict[str, str
         .withColumns(delay_columns("cli"))
     )
     return fact.select(*columns) if columns else fact
+
+
+def fact_with_causes(
+    tables: Tables, *columns: str, preset: str = "model", rules: Sequence[Rule] | None = None
+) -> DataFrame:
+    """The named columns of the fact, among them ``causes`` where asked for, at the cost of just these."""
+    if rules is None:
+        rules = MODEL_RULES if preset == "model" else CLI_RULES
+    if "causes" not in columns:
+        return build_fact(tables, preset, columns, rules)
+    if preset == "model":
+        reads = [*rule_columns(rules, MODEL_TEXT_FIELDS), "feedback_needles"]
+        infer = infer_causes
+    else:
+        reads = rule_columns(rules, CLI_TEXT_FIELDS)
+        infer = infer_causes_cli
+    plain = [c for c in columns if c != "causes"]
+    return infer(build_fact(tables, preset, list(dict.fromkeys([*plain, *reads])), rules), rules).select(*columns)

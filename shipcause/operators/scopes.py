@@ -8,7 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, functions as F
 
-from shipcause.functions.dates import month_bounds
+from shipcause.functions.dates import month_bounds, month_text
 from shipcause.functions.values import column
 
 Day = str | dt.date | Column
@@ -53,15 +53,22 @@ def as_day(value: Day) -> Column:
     return value if isinstance(value, Column) else F.to_date(F.lit(str(value)))
 
 
-def days_between(start: Day, end: Day, name: str = "order_date") -> Column:
-    """Whole days, both ends included."""
-    return F.to_date(column(name)).between(as_day(start), as_day(end))
+def days_between(start: Day, end: Day, name: str = "order_date", month: str | None = None) -> Column:
+    """Whole days, both ends included.
 
+    ``month`` names a ``yyyy-MM`` column of the same date that the table is partitioned by; the condition
+    then also selects partitions.
+    """
+    start, end = as_day(start), as_day(end)
+    inside = F.to_date(column(name)).between(start, end)
+    return inside if month is None else inside & F.col(month).between(month_text(start), month_text(end))
 
-def in_month(month: str, name: str = "order_date") -> Column:
+
+def in_month(value: str, name: str = "order_date", month: str | None = None) -> Column:
     """The calendar month ``YYYY-MM`` as a half-open range, which reaches the Parquet scan."""
-    first, after = month_bounds(month)
-    return (F.col(name) >= F.lit(first).cast("timestamp_ntz")) & (F.col(name) < F.lit(after).cast("timestamp_ntz"))
+    first, after = month_bounds(value)
+    inside = (F.col(name) >= F.lit(first).cast("timestamp_ntz")) & (F.col(name) < F.lit(after).cast("timestamp_ntz"))
+    return inside if month is None else inside & (F.col(month) == value)
 
 
 def from_instant(start: str | None, name: str = "order_date") -> Column | None:
@@ -91,11 +98,11 @@ def orders_matching(
 
 
 def explorer(
-    start: Day, end: Day, city: str = ALL, client: str = ALL, warehouse: str = ALL
+    start: Day, end: Day, city: str = ALL, client: str = ALL, warehouse: str = ALL, month: str | None = None
 ) -> Column:
     """The explorer's filters: a day range, and exact values where they are not ``All``."""
     return all_of(
-        days_between(start, end),
+        days_between(start, end, month=month),
         equals("city", city),
         equals("client_name", client),
         equals("warehouse_name", warehouse),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from shipcause.operators.causes import MODEL_RULES, Rule, explode_causes, infer_causes
-from shipcause.operators.fact import build_fact
+from shipcause.operators.fact import MONTH, build_fact
 from shipcause.operators.feedback import feedback_summary_model, feedback_text
 from shipcause.operators.firsts import worst_factor
 from shipcause.operators.measures import cause_counts, model_stats
@@ -16,8 +16,6 @@ from shipcause.sources.presence import require_sources
 from shipcause.sources.store import write_table
 from shipcause.sources.tables import load_csv_tables, load_parquet_tables, register_views, row_counts
 
-MONTH = "order_month"
-
 
 @dataclass(frozen=True)
 class Model:
@@ -55,8 +53,7 @@ def model_of(tables: Mapping[str, DataFrame], rules: Sequence[Rule] = MODEL_RULE
 
 def save_model(tables: Mapping[str, DataFrame], folder: str, rules: Sequence[Rule] = MODEL_RULES) -> Model:
     """Write the fact, by order month, then the causes from the written fact: the joins run once."""
-    fact = model_of(tables, rules).fact.withColumn(MONTH, F.date_format("order_date", "yyyy-MM"))
-    saved = write_table(fact, f"{folder}/fact_order_analysis", partition_by=MONTH)
+    saved = write_table(model_of(tables, rules).fact, f"{folder}/fact_order_analysis", partition_by=MONTH)
     causes = write_table(explode_causes(saved), f"{folder}/fact_order_causes")
     return Model(tables, saved, causes)
 

@@ -1,7 +1,14 @@
-"""The six business questions and the filtered explorer, as lazy frames over the fact."""
+"""The six business questions and the filtered explorer, as lazy frames over the fact.
+
+``fact`` is a fact with causes, or a function that returns its named columns: ``saved.select`` for a saved
+fact, ``partial(fact_with_causes, tables)`` for one built from the tables. Every frame asks for the columns
+it reads, so an answer from the tables makes only the joins it needs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipcause.fixed import (
@@ -13,16 +20,34 @@ from shipcause.fixed import (
     TITLES,
     WAREHOUSE_MONTH,
 )
-from shipcause.functions.dates import day_text, last_day_seen, past_week, previous_month
+from shipcause.functions.dates import day_text, last_day_seen, month_bounds, past_week, previous_month
 from shipcause.operators import scopes
+from shipcause.operators.fact import MONTH
 from shipcause.operators.insights import projected_late
-from shipcause.operators.measures import cause_counts, kpis, recommendations, samples, top, top_causes
+from shipcause.operators.measures import (
+    SAMPLE_COLUMNS,
+    cause_counts,
+    kpis,
+    recommendations,
+    samples,
+    top,
+    top_causes,
+)
 
 Answer = dict[str, DataFrame]
+Fact = DataFrame | Callable[..., DataFrame]
+
+KPI_COLUMNS = ["status", "is_late"]
+DATE_COLUMNS = ["order_date", MONTH]
+
 
+def _read(fact: Fact, *columns: str) -> DataFrame:
+    select = fact.select if isinstance(fact, DataFrame) else fact
+    return select(*dict.fromkeys(columns))
 
-def _header(fact: DataFrame, template: str, scope: Column) -> DataFrame:
-    return fact.sparkSession.range(1).select(
+
+def _header(fact: Fact, template: str, scope: Column) -> DataFrame:
+    return _read(fact, "order_id").sparkSession.range(1).select(
         F.lit(TITLES.get(template, DEFAULT_TITLE)).alias("title"),
         scope.alias("scope"),
         F.lit(EXPLANATIONS.get(template, "")).alias("explanation"),
@@ -38,79 +63,90 @@ def _day(value: scopes.Day) -> Column:
 
 
 def _standard(
-    fact: DataFrame, template: str, scope_text: Column, scope: Column, cause_scope: Column | None = None
+    fact: Fact, template: str, text: Column, scope: Column, reads: list[str], cause_scope: Column | None = None
 ) -> Answer:
-    """KPIs, causes, impacted orders and recommendations of one scope; causes may use a narrower one."""
-    causes = top_causes(fact, scope if cause_scope is None else cause_scope)
+    """KPIs, causes, impacted orders and recommendations of one scope; causes may use a narrower one.
+
+    ``reads`` are the columns that the scopes read.
+    """
+    causes = top_causes(_read(fact, "causes", *reads), scope if cause_scope is None else cause_scope)
     return {
-        "header": _header(fact, template, scope_text),
-        "kpis": kpis(fact, scope),
+        "header": _header(fact, template, text),
+        "kpis": kpis(_read(fact, *KPI_COLUMNS, *reads), scope),
         "causes": causes,
-        "samples": samples(fact, scope),
+        "samples": samples(_read(fact, *SAMPLE_COLUMNS, *reads), scope),
         "recommendations": recommendations(causes),
     }
 
 
-def city_delays(fact: DataFrame, city: str | Column, start: scopes.Day, end: scopes.Day) -> Answer:
-    scope = scopes.all_of(scopes.days_between(start, end), scopes.equals("city", city))
+def city_delays(fact: Fact, city: str | Column, start: scopes.Day, end: scopes.Day) -> Answer:
+    scope = scopes.all_of(scopes.days_between(start, end, month=MONTH), scopes.equals("city", city))
     text = _text("City=", city, ", Date Range=", _day(start), " to ", _day(end))
-    return _standard(fact, "city_delayed_date_range", text, scope)
+    return _standard(fact, "city_delayed_date_range", text, scope, ["city", *DATE_COLUMNS])
+
 
+def last_week(fact: Fact) -> tuple[Column, Column]:
+    return past_week(last_day_seen(_read(fact, "order_date")))
 
-def client_failures(fact: DataFrame, client: str | Column) -> Answer:
+
+def client_failures(fact: Fact, client: str | Column) -> Answer:
     """Past week of one client: causes of its failed orders, KPIs and samples of all of them."""
-    start, end = past_week(last_day_seen(fact))
-    scope = scopes.all_of(scopes.days_between(start, end), scopes.equals("client_name", client))
+    start, end = last_week(fact)
+    scope = scopes.all_of(scopes.days_between(start, end, month=MONTH), scopes.equals("client_name", client))
     text = _text("Client=", client, ", Period=", day_text(start), " to ", day_text(end), ", Failed orders only")
-    return _standard(fact, "client_failures_past_week", text, scope, scope & scopes.failed())
+    reads = ["client_name", "status", *DATE_COLUMNS]
+    return _standard(fact, "client_failures_past_week", text, scope, reads, scope & scopes.failed())
 
 
-def warehouse_reasons(fact: DataFrame, warehouse: str | Column, month: str = WAREHOUSE_MONTH) -> Answer:
-    scope = scopes.all_of(scopes.in_month(month), scopes.equals("warehouse_name", warehouse))
-    return _standard(
-        fact, "warehouse_august_reasons", _text("Warehouse=", warehouse, f", Month={month}"), scope
-    )
+def warehouse_reasons(fact: Fact, warehouse: str | Column, month: str = WAREHOUSE_MONTH) -> Answer:
+    scope = scopes.all_of(scopes.in_month(month, month=MONTH), scopes.equals("warehouse_name", warehouse))
+    text = _text("Warehouse=", warehouse, f", Month={month}")
+    return _standard(fact, "warehouse_august_reasons", text, scope, ["warehouse_name", *DATE_COLUMNS])
 
 
-def compare_cities(fact: DataFrame, city: str, city_b: str) -> Answer:
+def compare_cities(fact: Fact, city: str, city_b: str) -> Answer:
     """Cause counts of two cities in the month before the last order's."""
-    start, end = previous_month(last_day_seen(fact))
-    rows = fact.where(scopes.days_between(start, end) & scopes.one_of("city", [city, city_b]))
+    start, end = previous_month(last_day_seen(_read(fact, "order_date")))
+    scope = scopes.days_between(start, end, month=MONTH) & scopes.one_of("city", [city, city_b])
+    reads = ["city", *DATE_COLUMNS]
     text = _text("Cities=", city, " vs ", city_b, ", Period=", day_text(start), " to ", day_text(end))
-    advice = [(i, x) for i, x in enumerate(COMPARE_RECOMMENDATIONS)]
+    counts = cause_counts(_read(fact, "causes", *reads), scope, by=["city"])
+    orders = _read(fact, *reads).where(scope)
+    advice = list(enumerate(COMPARE_RECOMMENDATIONS))
     return {
         "header": _header(fact, "city_vs_city_last_month", text),
-        "kpis": rows.agg(
+        "kpis": orders.agg(
             F.count_if(F.col("city") == city).alias("city_a_orders"),
             F.count_if(F.col("city") == city_b).alias("city_b_orders"),
         ),
-        "compare": cause_counts(rows, by=["city"]).orderBy("city", F.desc("cause_count"), "cause"),
-        "recommendations": fact.sparkSession.createDataFrame(advice, "position int, recommendation string")
+        "compare": counts.orderBy("city", F.desc("cause_count"), "cause"),
+        "recommendations": orders.sparkSession.createDataFrame(advice, "position int, recommendation string")
         .orderBy("position")
         .select("recommendation"),
     }
 
 
-def festival_risks(fact: DataFrame, month: str = FESTIVAL_MONTH) -> Answer:
-    first, _ = scopes.month_bounds(month)
+def festival_risks(fact: Fact, month: str = FESTIVAL_MONTH) -> Answer:
+    first, _ = month_bounds(month)
     text = F.lit(f"Festival window assumed as {first:%B} {first.year}")
-    return _standard(fact, "festival_period_risks", text, scopes.in_month(month))
+    return _standard(fact, "festival_period_risks", text, scopes.in_month(month, month=MONTH), DATE_COLUMNS)
 
 
-def onboarding_risk(fact: DataFrame, volume: int = ONBOARDING_VOLUME) -> Answer:
+def onboarding_risk(fact: Fact, volume: int = ONBOARDING_VOLUME) -> Answer:
     """Network KPIs, five top causes, and the late orders to expect (from the unrounded rate)."""
-    causes = top_causes(fact, scopes.everything(), 5)
+    causes = top_causes(_read(fact, "causes"), scopes.everything(), 5)
     text = F.lit(f"Network baseline + projected {volume:,} additional monthly orders")
+    network = kpis(_read(fact, *KPI_COLUMNS), scopes.everything())
     return {
         "header": _header(fact, "client_onboarding_risk", text),
-        "kpis": kpis(fact, scopes.everything()).withColumn("projected_delayed_orders", projected_late(volume)),
+        "kpis": network.withColumn("projected_delayed_orders", projected_late(volume)),
         "causes": causes,
         "recommendations": recommendations(causes),
     }
 
 
 def run_template(
-    fact: DataFrame,
+    fact: Fact,
     template: str,
     city: str | Column = "",
     client: str | Column = "",
@@ -138,7 +174,7 @@ def run_template(
 
 
 def explore(
-    fact: DataFrame,
+    fact: Fact,
     start: scopes.Day,
     end: scopes.Day,
     city: str = scopes.ALL,
@@ -146,9 +182,11 @@ def explore(
     warehouse: str = scopes.ALL,
 ) -> Answer:
     """KPIs, ten top causes and twenty impacted orders under the explorer's filters."""
-    scope = scopes.explorer(start, end, city, client, warehouse)
+    scope = scopes.explorer(start, end, city, client, warehouse, month=MONTH)
+    chosen = {"city": city, "client_name": client, "warehouse_name": warehouse}
+    reads = [*DATE_COLUMNS, *[name for name, value in chosen.items() if value != scopes.ALL]]
     return {
-        "kpis": kpis(fact, scope),
-        "causes": top(cause_counts(fact, scope), 10),
-        "samples": samples(fact, scope, 20),
+        "kpis": kpis(_read(fact, *KPI_COLUMNS, *reads), scope),
+        "causes": top(cause_counts(_read(fact, "causes", *reads), scope), 10),
+        "samples": samples(_read(fact, *SAMPLE_COLUMNS, *reads), scope, 20),
     }
