@@ -182,7 +182,7 @@ PARTS = {
         select s.order_id, s.sentiment feedback_sentiment_top, r.feedback_rating_avg,
             coalesce(t.feedback_tags, []) feedback_tags
         from (
-            select order_id, coalesce(sentiment, 'Unknown') sentiment from raw_feedback group by all
+            select order_id, coalesce(sentiment, 'Unknown') sentiment from raw_feedback group by order_id, coalesce(sentiment, 'Unknown')
             qualify row_number() over (partition by order_id order by count(*) desc, min(load_seq)) = 1) s
         join (select order_id, avg(try_cast(rating as double)) feedback_rating_avg from raw_feedback group by 1) r
             on r.order_id = s.order_id

@@ -8,16 +8,17 @@ be compared value by value with those of another engine.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import lru_cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shipcause import testdata
 from shipcause.functions.dates import (
     day_text,
     normalize_dates,
     second_text,
 )
-from shipcause.functions.values import normalize_missing
+from shipcause.functions.values import labels_where, normalize_missing
 from shipcause.operators import measures, quality, scopes
 from shipcause.operators.causes import distinct_recommendations, explode_causes
 from shipcause.operators.fact import (
@@ -44,7 +45,7 @@ from shipcause.schemas import FACT_COLUMNS, SEQ
 from shipcause.sources.query import run_query, run_select
 from shipcause.sources.store import new_folder, write_csv, write_table
 from shipcause.sources.tables import load_csv_tables, row_counts
-from shipcause.testdata import load_tables
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +60,12 @@ CLI_START, CLI_END = "1996-08-01", "1996-08-31"
 # ---- helpers -------------------------------------------------------------------
 
 
+@lru_cache(maxsize=8)
+def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The input tables as plans (no data is kept)."""
+    return testdata.load_tables(spark, folder)
+
+
 def model(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return fact_with_causes(load_tables(spark, folder), *columns)
 
@@ -331,10 +338,9 @@ def filter_orders_cli(spark: SparkSession, folder: str) -> DataFrame:
         "warehouse and month": scopes.orders_matching(warehouse=WAREHOUSE_PATTERN, start=CLI_START, end=CLI_END),
         "city and start": scopes.orders_matching(city="NATION_11", start="2000-01-01"),
     }
-    names = [F.when(condition, F.lit(name)) for name, condition in kept.items()]
     return fact.select(
         "order_id", "city", "client_name", "warehouse_name",
-        F.explode(F.array_compact(F.array(*names))).alias("kept_by"),
+        F.explode(labels_where(kept)).alias("kept_by"),
     )
 
 

@@ -15,13 +15,8 @@ SECOND_TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
 def micros_between(start: str | Column, end: str | Column) -> Column:
-    gap = column(end) - column(start)
-
-    def part(name: str) -> Column:
-        return F.extract(F.lit(name), gap)
-
-    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
-    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
+    gap = (column(end) - column(start)).cast("interval second")
+    return (gap.cast("decimal(18,6)") * 1_000_000).cast("bigint")
 
 
 def hours_between(start: str | Column, end: str | Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
@@ -52,3 +54,13 @@ def round_half_up(c: str | Column, digits: int = 2) -> Column:
 
 def round_half_even(c: str | Column, digits: int = 2) -> Column:
     return F.bround(column(c), digits)
+
+
+def labels_where(conditions: Mapping[str, Column]) -> Column:
+    """Array of the labels whose condition is met, in the given order; a NULL condition is not met.
+
+    ``array_remove`` keeps the projection inside generated code, which the lambda behind
+    ``array_compact`` would not.
+    """
+    labels = [F.when(met, F.lit(label)).otherwise(F.lit("")) for label, met in conditions.items()]
+    return F.array_remove(F.array(*labels), "")

@@ -18,6 +18,7 @@ from shipcause.fixed import (
     UNKNOWN_ACTION,
     UNKNOWN_CAUSE,
 )
+from shipcause.functions.values import labels_where
 
 TEXT = "text"  # stands for all text fields of an order together
 
@@ -120,10 +121,7 @@ def infer_causes(
     """
     fact = fact.withColumn("_text", text_blob(text_fields))
     fields = {c: F.col(c) for c in fact.columns} | {TEXT: F.col("_text")}
-    found = F.array_compact(
-        F.array(*[F.when(met, F.lit(cause)) for cause, met in cause_conditions(rules, fields).items()])
-    )
-    fact = fact.withColumn("causes", found).drop("_text")
+    fact = fact.withColumn("causes", labels_where(cause_conditions(rules, fields))).drop("_text")
     if unknown is None:
         return fact
     return fact.withColumn(
@@ -155,8 +153,10 @@ def explode_causes(
 
     ``keep_empty`` keeps an order without causes, with a NULL cause.
     """
-    explode = F.explode_outer if keep_empty else F.explode
-    rows = fact.select("order_id", explode("causes").alias("cause"))
+    # The outer form spares evaluating the array a second time in a filter on its size.
+    rows = fact.select("order_id", F.explode_outer("causes").alias("cause"))
+    if not keep_empty:
+        rows = rows.where(F.col("cause").isNotNull())
     known = action_for("cause", actions, default, **{UNKNOWN_CAUSE: UNKNOWN_ACTION})
     return rows.withColumn("recommendation", F.when(F.col("cause").isNotNull(), known))
 

@@ -27,6 +27,24 @@ from shipcause.schemas import FACT_COLUMNS, SEQ
 Tables = Mapping[str, DataFrame]
 
 MONTH = "order_month"
+
+# Fact column -> the columns of a log row that it is made of, in the model preset.
+STOCK_SOURCES = {
+    "warehouse_id": ["warehouse_id"],
+    "warehouse_name": ["warehouse_id"],
+    "warehouse_city": ["warehouse_id"],
+    "warehouse_state": ["warehouse_id"],
+    "warehouse_notes": ["notes"],
+    "picking_minutes": ["picking_start", "picking_end"],
+    "dispatch_lag_minutes": ["picking_end", "dispatch_time"],
+}
+FLEET_SOURCES = {
+    "driver_id": ["driver_id"],
+    "vehicle_number": ["vehicle_number"],
+    "route_code": ["route_code"],
+    "gps_delay_notes": ["gps_delay_notes"],
+    "transit_hours": ["departure_time", "arrival_time"],
+}
 WAREHOUSE_DIM_COLUMNS = {"warehouse_name", "warehouse_city", "warehouse_state"}
 
 
@@ -111,37 +129,35 @@ def _model_fact(
     if "client_name" in need:
         orders = orders.join(client_dim(tables["dim_clients"]), "client_id", "left")
 
-    stock = first_row_per_key(
-        tables["raw_warehouse_logs"], "order_id", [SEQ],
-        ["warehouse_id", "picking_start", "picking_end", "dispatch_time", F.col("notes").alias("warehouse_notes")],
-    )
-    if need & WAREHOUSE_DIM_COLUMNS:
-        stock = stock.join(warehouse_dim(tables["dim_warehouses"]), "warehouse_id", "left")
-
-    fleet = first_row_per_key(
-        tables["raw_fleet_logs"], "order_id", [SEQ],
-        ["driver_id", "vehicle_number", "route_code", "gps_delay_notes", "departure_time", "arrival_time"],
-    )
-
-    fact = (
-        orders.join(stock, "order_id", "left")
-        .join(fleet, "order_id", "left")
-        .join(worst_factor(tables["raw_external_factors"], "model"), "order_id", "left")
-        .join(feedback_summary_model(tables["raw_feedback"], needles(rules)), "order_id", "left")
+    # Only what is read of a log row goes through its shuffle.
+    if columns_read := _sources(STOCK_SOURCES, need):
+        stock = first_row_per_key(tables["raw_warehouse_logs"], "order_id", [SEQ], columns_read)
+        if need & WAREHOUSE_DIM_COLUMNS:
+            stock = stock.join(warehouse_dim(tables["dim_warehouses"]), "warehouse_id", "left")
+        orders = orders.join(stock.withColumnsRenamed({"notes": "warehouse_notes"}), "order_id", "left")
+    if columns_read := _sources(FLEET_SOURCES, need):
+        fleet = first_row_per_key(tables["raw_fleet_logs"], "order_id", [SEQ], columns_read)
+        orders = orders.join(fleet, "order_id", "left")
+
+    fact = orders.join(worst_factor(tables["raw_external_factors"], "model"), "order_id", "left").join(
+        feedback_summary_model(tables["raw_feedback"], needles(rules)), "order_id", "left"
     )
     if "feedback_text_concat" in need:
         fact = fact.join(feedback_text(tables["raw_feedback"], max_text_chars), "order_id", "left")
 
-    return fact.withColumns(
-        {
-            "amount": as_double(tables["raw_orders"], "amount"),
-            **delay_columns("model"),
-            MONTH: month_text("order_date"),
-            "transit_hours": transit_hours(),
-            "picking_minutes": picking_minutes(),
-            "dispatch_lag_minutes": dispatch_lag_minutes(),
-        }
-    ).select(*wanted)
+    derived = {
+        "amount": as_double(tables["raw_orders"], "amount"),
+        **delay_columns("model"),
+        MONTH: month_text("order_date"),
+        "transit_hours": transit_hours(),
+        "picking_minutes": picking_minutes(),
+        "dispatch_lag_minutes": dispatch_lag_minutes(),
+    }
+    return fact.select(*[derived[c].alias(c) if c in derived else c for c in wanted])
+
+
+def _sources(sources: Mapping[str, list[str]], need: set[str]) -> list[str]:
+    return list(dict.fromkeys(c for name, parts in sources.items() if name in need for c in parts))
 
 
 def _cli_fact(tables: Tables, columns: Sequence[str] | None, tags: dict[str, str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipcause.fixed import FEEDBACK_TAGS
-from shipcause.functions.values import leading_double, try_double
+from shipcause.functions.values import labels_where, leading_double, try_double
 from shipcause.schemas import SEQ
 
 TEXT_SEPARATOR = " || "
@@ -25,7 +25,7 @@ def _labels_found(needles: dict[str, str]) -> Column:
     for needle, label in needles.items():
         hit = text.contains(F.lit(needle))
         hits[label] = hits[label] | hit if label in hits else hit
-    return F.array_compact(F.array(*[F.when(F.max(hits[label]), F.lit(label)) for label in sorted(hits)]))
+    return labels_where({label: F.max(hits[label]) for label in sorted(hits)})
 
 
 def feedback_summary_model(feedback: DataFrame, needles: Iterable[str] = ()) -> DataFrame:
@@ -58,12 +58,11 @@ def feedback_summary_cli(feedback: DataFrame, tags: dict[str, str] = FEEDBACK_TA
         _labels_found(tags).alias("labels"),
     )
     top = F.min(F.struct((-F.col("n")).alias("minus_n"), "first_seen", "sentiment"))["sentiment"]
-    labels = sorted(set(tags.values()))
-    found = [F.when(F.max(F.array_contains("labels", label)), F.lit(label)) for label in labels]
+    found = {label: F.max(F.array_contains("labels", label)) for label in sorted(set(tags.values()))}
     return by_sentiment.groupBy("order_id").agg(
         top.alias("feedback_sentiment_top"),
         F.try_divide(F.sum("rating_sum"), F.sum("rating_n")).alias("feedback_rating_avg"),
-        F.array_compact(F.array(*found)).alias("feedback_tags"),
+        labels_where(found).alias("feedback_tags"),
     )
 
 

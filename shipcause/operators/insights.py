@@ -18,7 +18,7 @@ from shipcause.fixed import (
     ONBOARDING_RISKS_TEXT,
     ONBOARDING_VOLUME,
 )
-from shipcause.functions.values import round_half_even
+from shipcause.functions.values import labels_where, round_half_even
 from shipcause.operators.causes import action_for
 
 DIMENSIONS = ["city", "client_name", "warehouse_name"]
@@ -26,8 +26,7 @@ DIMENSIONS = ["city", "client_name", "warehouse_name"]
 
 def tag_scopes(fact: DataFrame, scopes: Mapping[str, Column]) -> DataFrame:
     """One row per order and scope it belongs to, in a single scan for all scopes."""
-    labels = [F.when(condition, F.lit(label)) for label, condition in scopes.items()]
-    return fact.withColumn("scope", F.explode(F.array_compact(F.array(*labels))))
+    return fact.withColumn("scope", F.explode_outer(labels_where(scopes))).where(F.col("scope").isNotNull())
 
 
 def _summary(fact: DataFrame, by: Sequence[str], k: int, actions: Mapping[str, str]) -> DataFrame:
@@ -36,7 +35,7 @@ def _summary(fact: DataFrame, by: Sequence[str], k: int, actions: Mapping[str, s
     One pass: every order is exploded to its causes and a NULL entry that stands for the order itself.
     Grouped by scope and cause that leaves a few rows per scope, from which the answer is put together.
     """
-    entry = F.explode(F.array_append("causes", F.lit(None).cast("string"))).alias("cause")
+    entry = F.explode_outer(F.concat("causes", F.array(F.lit(None).cast("string")))).alias("cause")
     counts = (
         fact.select(*by, F.col("is_late").cast("int").alias("late"), entry)
         .groupBy(*by, "cause")
@@ -130,7 +129,7 @@ def insights_grouping_sets(fact: DataFrame, dimensions: Sequence[str] = DIMENSIO
     """
     labels = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions]
     labels.append(F.struct(F.lit("network").alias("dimension"), F.lit(None).cast("string").alias("value")))
-    tagged = fact.select("*", F.explode(F.array(*labels)).alias("label")).select(
+    tagged = fact.select("*", F.explode_outer(F.array(*labels)).alias("label")).select(
         "label.*", "order_id", "delay_hours", "is_late", "causes"
     )
     return insights_by(tagged, ["dimension", "value"], k)
@@ -169,16 +168,12 @@ def projected_late(volume: int, rate: str | Column = "late_rate") -> Column:
     return F.floor(F.lit(volume) * rate / 100).cast("bigint")
 
 
-def onboarding(
-    fact: DataFrame, client: str, volume: int = ONBOARDING_VOLUME, k: int = 5,
-    actions: Mapping[str, str] = MODEL_ACTIONS,
-) -> DataFrame:
-    """Insight of the whole network as the baseline for a new client, with the projected late orders.
+def onboarding_title(client: str) -> str:
+    return f"Onboarding risk outlook for {client}"
 
-    The projection uses the rounded late rate.
-    """
-    title = f"Onboarding risk outlook for {client}"
-    base = insights(fact, {title: F.lit(True)}, k).drop("narrative")
+
+def onboarding_text(actions: Mapping[str, str] = MODEL_ACTIONS) -> Column:
+    """Narrative of an insight that serves as the baseline for a new client."""
     risk_lines = F.transform(
         "top_causes",
         lambda x: F.concat(
@@ -191,6 +186,22 @@ def onboarding(
         F.lit("% | projected delayed orders per month: ~"), F.col("projected_delayed_orders"),
     )
     lines = [F.col("scope"), headline, F.lit(ONBOARDING_RISKS_TEXT), risk_lines, *map(F.lit, ONBOARDING_PLAYBOOK)]
-    return base.withColumn("projected_delayed_orders", projected_late(volume)).withColumn(
-        "narrative", F.concat_ws("\n", *lines)
+    return F.concat_ws("\n", *lines)
+
+
+def insights_with_onboarding(
+    fact: DataFrame, scopes: Mapping[str, Column], client: str, volume: int = ONBOARDING_VOLUME, k: int = 5
+) -> DataFrame:
+    """:func:`insights` for the scopes, and in the same passes one for the whole network: the baseline for
+    a new client, with the late orders to expect by the rounded late rate."""
+    title = onboarding_title(client)
+    is_baseline = F.col("scope") == title
+    rows = insights(fact, {**scopes, title: F.lit(True)}, k)
+    return rows.withColumn("projected_delayed_orders", F.when(is_baseline, projected_late(volume))).withColumn(
+        "narrative", F.when(is_baseline, onboarding_text()).otherwise(F.col("narrative"))
     )
+
+
+def onboarding(fact: DataFrame, client: str, volume: int = ONBOARDING_VOLUME, k: int = 5) -> DataFrame:
+    """The outlook for a new client, from the whole network."""
+    return insights_with_onboarding(fact, {}, client, volume, k)

@@ -41,8 +41,10 @@ def cause_counts(fact: DataFrame, scope: Column | None = None, by: Sequence[str]
     the join (see :func:`joined_cause_counts` for tables in which the key repeats).
     """
     rows = fact.where(everything() if scope is None else scope)
+    # The outer form spares evaluating the array a second time in a filter on its size.
     return (
-        rows.select(*by, F.explode("causes").alias("cause"))
+        rows.select(*by, F.explode_outer("causes").alias("cause"))
+        .where(F.col("cause").isNotNull())
         .groupBy(*by, "cause")
         .agg(F.count(F.lit(1)).alias("cause_count"))
     )

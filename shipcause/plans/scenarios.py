@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from shipcause.fixed import ONBOARDING_VOLUME
 from shipcause.operators import scopes
-from shipcause.operators.insights import insights, onboarding
+from shipcause.operators.insights import insights, insights_with_onboarding
 
 
 def _period(start: str | None, end: str | None) -> Column:
@@ -65,6 +65,5 @@ class Scenarios:
 
 
 def answer_all(fact: DataFrame, ask: Scenarios) -> DataFrame:
-    """All scenarios as insight rows. The scoped ones share one scan; onboarding looks at the whole network."""
-    scoped = insights(fact, ask.scopes()).withColumn("projected_delayed_orders", F.lit(None).cast("bigint"))
-    return scoped.unionByName(onboarding(fact, ask.new_client, ask.volume))
+    """All scenarios as insight rows, in one pass over the orders for all of them."""
+    return insights_with_onboarding(fact, ask.scopes(), ask.new_client, ask.volume)

@@ -7,7 +7,7 @@ it reads, so an answer from the tables makes only the joins it needs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,13 +34,28 @@ from shipcause.operators.measures import (
     top_causes,
 )
 
-Answer = dict[str, DataFrame]
 Fact = DataFrame | Callable[..., DataFrame]
 
 KPI_COLUMNS = ["status", "is_late"]
 DATE_COLUMNS = ["order_date", MONTH]
 
 
+class Answer(Mapping[str, DataFrame]):
+    """The frames of an answer by name; each is planned when it is asked for."""
+
+    def __init__(self, **parts: Callable[[], DataFrame]):
+        self._parts = parts
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._parts[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._parts)
+
+    def __len__(self) -> int:
+        return len(self._parts)
+
+
 def _read(fact: Fact, *columns: str) -> DataFrame:
     select = fact.select if isinstance(fact, DataFrame) else fact
     return select(*dict.fromkeys(columns))
@@ -69,14 +84,17 @@ def _standard(
 
     ``reads`` are the columns that the scopes read.
     """
-    causes = top_causes(_read(fact, "causes", *reads), scope if cause_scope is None else cause_scope)
-    return {
-        "header": _header(fact, template, text),
-        "kpis": kpis(_read(fact, *KPI_COLUMNS, *reads), scope),
-        "causes": causes,
-        "samples": samples(_read(fact, *SAMPLE_COLUMNS, *reads), scope),
-        "recommendations": recommendations(causes),
-    }
+
+    def causes() -> DataFrame:
+        return top_causes(_read(fact, "causes", *reads), scope if cause_scope is None else cause_scope)
+
+    return Answer(
+        header=lambda: _header(fact, template, text),
+        kpis=lambda: kpis(_read(fact, *KPI_COLUMNS, *reads), scope),
+        causes=causes,
+        samples=lambda: samples(_read(fact, *SAMPLE_COLUMNS, *reads), scope),
+        recommendations=lambda: recommendations(causes()),
+    )
 
 
 def city_delays(fact: Fact, city: str | Column, start: scopes.Day, end: scopes.Day) -> Answer:
@@ -110,20 +128,28 @@ def compare_cities(fact: Fact, city: str, city_b: str) -> Answer:
     scope = scopes.days_between(start, end, month=MONTH) & scopes.one_of("city", [city, city_b])
     reads = ["city", *DATE_COLUMNS]
     text = _text("Cities=", city, " vs ", city_b, ", Period=", day_text(start), " to ", day_text(end))
-    counts = cause_counts(_read(fact, "causes", *reads), scope, by=["city"])
-    orders = _read(fact, *reads).where(scope)
-    advice = list(enumerate(COMPARE_RECOMMENDATIONS))
-    return {
-        "header": _header(fact, "city_vs_city_last_month", text),
-        "kpis": orders.agg(
+
+    def compare() -> DataFrame:
+        counts = cause_counts(_read(fact, "causes", *reads), scope, by=["city"])
+        return counts.orderBy("city", F.desc("cause_count"), "cause")
+
+    def order_counts() -> DataFrame:
+        return _read(fact, *reads).where(scope).agg(
             F.count_if(F.col("city") == city).alias("city_a_orders"),
             F.count_if(F.col("city") == city_b).alias("city_b_orders"),
-        ),
-        "compare": counts.orderBy("city", F.desc("cause_count"), "cause"),
-        "recommendations": orders.sparkSession.createDataFrame(advice, "position int, recommendation string")
-        .orderBy("position")
-        .select("recommendation"),
-    }
+        )
+
+    def advice() -> DataFrame:
+        spark = _read(fact, "order_id").sparkSession
+        lines = spark.createDataFrame(list(enumerate(COMPARE_RECOMMENDATIONS)), "position int, recommendation string")
+        return lines.orderBy("position").select("recommendation")
+
+    return Answer(
+        header=lambda: _header(fact, "city_vs_city_last_month", text),
+        kpis=order_counts,
+        compare=compare,
+        recommendations=advice,
+    )
 
 
 def festival_risks(fact: Fact, month: str = FESTIVAL_MONTH) -> Answer:
@@ -134,15 +160,21 @@ def festival_risks(fact: Fact, month: str = FESTIVAL_MONTH) -> Answer:
 
 def onboarding_risk(fact: Fact, volume: int = ONBOARDING_VOLUME) -> Answer:
     """Network KPIs, five top causes, and the late orders to expect (from the unrounded rate)."""
-    causes = top_causes(_read(fact, "causes"), scopes.everything(), 5)
     text = F.lit(f"Network baseline + projected {volume:,} additional monthly orders")
-    network = kpis(_read(fact, *KPI_COLUMNS), scopes.everything())
-    return {
-        "header": _header(fact, "client_onboarding_risk", text),
-        "kpis": network.withColumn("projected_delayed_orders", projected_late(volume)),
-        "causes": causes,
-        "recommendations": recommendations(causes),
-    }
+
+    def network() -> DataFrame:
+        found = kpis(_read(fact, *KPI_COLUMNS), scopes.everything())
+        return found.withColumn("projected_delayed_orders", projected_late(volume))
+
+    def causes() -> DataFrame:
+        return top_causes(_read(fact, "causes"), scopes.everything(), 5)
+
+    return Answer(
+        header=lambda: _header(fact, "client_onboarding_risk", text),
+        kpis=network,
+        causes=causes,
+        recommendations=lambda: recommendations(causes()),
+    )
 
 
 def run_template(
@@ -170,7 +202,7 @@ def run_template(
         return festival_risks(fact, month or FESTIVAL_MONTH)
     if template == "client_onboarding_risk":
         return onboarding_risk(fact, volume)
-    return {"header": _header(fact, template, F.lit(""))}
+    return Answer(header=lambda: _header(fact, template, F.lit("")))
 
 
 def explore(
@@ -185,8 +217,8 @@ def explore(
     scope = scopes.explorer(start, end, city, client, warehouse, month=MONTH)
     chosen = {"city": city, "client_name": client, "warehouse_name": warehouse}
     reads = [*DATE_COLUMNS, *[name for name, value in chosen.items() if value != scopes.ALL]]
-    return {
-        "kpis": kpis(_read(fact, *KPI_COLUMNS, *reads), scope),
-        "causes": top(cause_counts(_read(fact, "causes", *reads), scope), 10),
-        "samples": samples(_read(fact, *SAMPLE_COLUMNS, *reads), scope, 20),
-    }
+    return Answer(
+        kpis=lambda: kpis(_read(fact, *KPI_COLUMNS, *reads), scope),
+        causes=lambda: top(cause_counts(_read(fact, "causes", *reads), scope), 10),
+        samples=lambda: samples(_read(fact, *SAMPLE_COLUMNS, *reads), scope, 20),
+    )
