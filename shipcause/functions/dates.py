@@ -60,15 +60,17 @@ def second_text(c: str | Column) -> Column:
 def normalize_dates(df: DataFrame, names: list[str], formats: tuple[str, ...] = ()) -> DataFrame:
     """Parse the date columns that the table has, to whole seconds; a bad value becomes NULL.
 
-    A column in which *no* value parses is read as epoch nanoseconds instead. That test is a scalar
-    subquery over the same table, so all columns share one counting pass and the plan stays lazy.
+    A column in which *no* value parses is read as epoch nanoseconds instead. What parses is counted by one
+    scalar subquery for all columns, so the plan stays lazy and scans the table twice at most.
     """
     text = [n for n in names if n in df.columns and df.schema[n].dataType.typeName() == "string"]
     typed = [n for n in names if n in df.columns and n not in text]
     out = {n: to_second(n) for n in typed}
-    for n in text:
-        parsed = df.agg(F.count(try_timestamp(n, formats))).scalar()
-        out[n] = to_second(F.when(parsed > 0, try_timestamp(n, formats)).otherwise(epoch_nanos(n)))
+    if text:
+        parsed = df.agg(F.struct(*[F.count(try_timestamp(n, formats)).alias(n) for n in text])).scalar()
+        for n in text:
+            value = F.when(parsed[n] > 0, try_timestamp(n, formats)).otherwise(epoch_nanos(n))
+            out[n] = to_second(value)
     return df.withColumns(out) if out else df
 
 

@@ -24,9 +24,9 @@ def null_if_missing(c: str | Column, tokens=tuple(NA_TOKENS)) -> Column:
 
 
 def normalize_missing(df: DataFrame, tokens=tuple(NA_TOKENS)) -> DataFrame:
-    """Apply :func:`null_if_missing` to every string column of a table in one projection."""
-    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
-    return df.select(*[null_if_missing(c, tokens).alias(c) if c in texts else F.col(c) for c in df.columns])
+    """:func:`null_if_missing` for every string column of a table, in one projection."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    return df.replace(list(tokens), None, subset=texts) if texts else df
 
 
 def try_double(c: str | Column) -> Column:

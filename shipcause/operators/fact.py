@@ -48,6 +48,10 @@ FLEET_SOURCES = {
 WAREHOUSE_DIM_COLUMNS = {"warehouse_name", "warehouse_city", "warehouse_state"}
 
 
+FACTOR_COLUMNS = {"traffic_condition", "weather_condition", "event_type", "traffic_score"}
+FEEDBACK_COLUMNS = {"feedback_rating_avg", "feedback_sentiment_top", "feedback_needles", "feedback_tags"}
+
+
 def picking_minutes() -> Column:
     return minutes_between("picking_start", "picking_end")
 
@@ -90,11 +94,6 @@ def client_dim(dim: DataFrame) -> DataFrame:
     return dim.select("client_id", "client_name")
 
 
-def with_suffix(right: DataFrame, left: DataFrame, key: str, suffix: str) -> DataFrame:
-    """Rename the columns of ``right`` that ``left`` has too, the join key apart."""
-    return right.withColumnsRenamed({c: c + suffix for c in right.columns if c in left.columns and c != key})
-
-
 def build_fact(
     tables: Tables,
     preset: str = "model",
@@ -139,11 +138,12 @@ def _model_fact(
         fleet = first_row_per_key(tables["raw_fleet_logs"], "order_id", [SEQ], columns_read)
         orders = orders.join(fleet, "order_id", "left")
 
-    fact = orders.join(worst_factor(tables["raw_external_factors"], "model"), "order_id", "left").join(
-        feedback_summary_model(tables["raw_feedback"], needles(rules)), "order_id", "left"
-    )
+    if need & FACTOR_COLUMNS:
+        orders = orders.join(worst_factor(tables["raw_external_factors"], "model"), "order_id", "left")
+    if need & FEEDBACK_COLUMNS:
+        orders = orders.join(feedback_summary_model(tables["raw_feedback"], needles(rules)), "order_id", "left")
     if "feedback_text_concat" in need:
-        fact = fact.join(feedback_text(tables["raw_feedback"], max_text_chars), "order_id", "left")
+        orders = orders.join(feedback_text(tables["raw_feedback"], max_text_chars), "order_id", "left")
 
     derived = {
         "amount": as_double(tables["raw_orders"], "amount"),
@@ -153,7 +153,7 @@ def _model_fact(
         "picking_minutes": picking_minutes(),
         "dispatch_lag_minutes": dispatch_lag_minutes(),
     }
-    return fact.select(*[derived[c].alias(c) if c in derived else c for c in wanted])
+    return orders.select(*[derived[c].alias(c) if c in derived else c for c in wanted])
 
 
 def _sources(sources: Mapping[str, list[str]], need: set[str]) -> list[str]:
@@ -168,31 +168,50 @@ def _cli_fact(tables: Tables, columns: Sequence[str] | None, tags: dict[str, str
         }
     )
     need = set(columns) if columns else None
-    if need is None or "client_name" in need:
-        orders = orders.join(client_dim(tables["dim_clients"]), "client_id", "left")
+
+    def read(names: set[str]) -> bool:
+        return need is None or bool(need & names)
+
+    fact = orders
+    if read({"client_name"}):
+        fact = fact.join(client_dim(tables["dim_clients"]), "client_id", "left")
 
     stock = tables["raw_warehouse_logs"].withColumns(
         {"picking_minutes": picking_minutes(), "dispatch_lag_minutes": dispatch_lag_minutes()}
     )
-    stock = first_value_per_key(stock, "order_id", SEQ, [c for c in stock.columns if c not in ("order_id", SEQ)])
-    stock = with_suffix(stock, orders, "order_id", "_wh")
-    if need is None or need & WAREHOUSE_DIM_COLUMNS:
-        stock = stock.join(warehouse_dim(tables["dim_warehouses"]), "warehouse_id", "left")
+    stock = _first_values(stock, orders, "_wh", need, {"warehouse_id"} if read(WAREHOUSE_DIM_COLUMNS) else set())
+    if stock is not None:
+        if read(WAREHOUSE_DIM_COLUMNS):
+            stock = stock.join(warehouse_dim(tables["dim_warehouses"]), "warehouse_id", "left")
+        fact = fact.join(stock, "order_id", "left")
 
     fleet = tables["raw_fleet_logs"].withColumns(
         {"driver_id": F.col("driver_id").cast("int"), "transit_hours": transit_hours()}
     )
-    fleet = first_value_per_key(fleet, "order_id", SEQ, [c for c in fleet.columns if c not in ("order_id", SEQ)])
-    fact = orders.join(stock, "order_id", "left")
-    fact = (
-        fact.join(with_suffix(fleet, fact, "order_id", "_fleet"), "order_id", "left")
-        .join(worst_factor(tables["raw_external_factors"], "cli"), "order_id", "left")
-        .join(feedback_summary_cli(tables["raw_feedback"], tags), "order_id", "left")
-        .withColumns(delay_columns("cli"))
-    )
+    fleet = _first_values(fleet, fact, "_fleet", need)
+    if fleet is not None:
+        fact = fact.join(fleet, "order_id", "left")
+
+    if read(FACTOR_COLUMNS):
+        fact = fact.join(worst_factor(tables["raw_external_factors"], "cli"), "order_id", "left")
+    if read(FEEDBACK_COLUMNS):
+        fact = fact.join(feedback_summary_cli(tables["raw_feedback"], tags), "order_id", "left")
+    fact = fact.withColumns(delay_columns("cli"))
     return fact.select(*columns) if columns else fact
 
 
+def _first_values(
+    log: DataFrame, left: DataFrame, suffix: str, need: set[str] | None, also: set[str] = frozenset()
+) -> DataFrame | None:
+    """The first values of the log columns that are read, renamed where ``left`` has the name; None for none."""
+    taken = set(left.columns)
+    names = {c: c + suffix if c in taken else c for c in log.columns if c not in ("order_id", SEQ)}
+    names = {c: n for c, n in names.items() if need is None or n in need or c in also}
+    if not names:
+        return None
+    return first_value_per_key(log, "order_id", SEQ, list(names)).withColumnsRenamed(names)
+
+
 def fact_with_causes(
     tables: Tables, *columns: str, preset: str = "model", rules: Sequence[Rule] | None = None
 ) -> DataFrame:

@@ -19,6 +19,7 @@ def local_session(cpus: int | None = None, app: str = "shipcause", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.files.openCostInBytes": str(1 << 20),  # split small files over all local cores
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call sites per expression
         "spark.driver.memory": "12g",
     } | conf
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
