@@ -4,8 +4,10 @@ An order with m warehouse logs and n fleet logs is m x n rows of that join. Its
 choices of one log on either side, so every count over them follows from counts per side:
 a rule that holds for a of the m warehouse logs and b of the n fleet logs holds for
 m*n - (m-a)*(n-b) pairs, and for all of them when the order itself meets it. Each log is therefore
-aggregated once per order, and the pairs never exist. Counts are bigint; a product beyond that range
-fails the job instead of giving a wrong number.
+aggregated once per order, and the pairs never exist.
+
+Counts of pairs outgrow bigint soon (an order with 200,000 logs on either side, joined back, is beyond it),
+so they are decimal(38,0). A number beyond that fails the job instead of coming out wrong.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from shipcause.operators.firsts import worst_factor
 from shipcause.operators.measures import failed, top
 
 ANY = "any"
+SIDE_COUNT = "decimal(19,0)"  # holds any bigint
+PAIR_COUNT = "decimal(38,0)"
 
 
 def _met_in(rules: Sequence[Rule], fields: Mapping[str, Column]) -> dict[str, Column]:
@@ -75,12 +79,12 @@ def log_grain(tables: Tables, rules: Sequence[Rule] = MODEL_RULES) -> DataFrame:
     order_met = _met_in(rules, order_fields)
 
     def logs(prefix: str) -> Column:  # an order without logs still is one row
-        return F.coalesce(F.col(prefix), F.lit(1))
+        return F.coalesce(F.col(prefix), F.lit(1)).cast(SIDE_COUNT)
 
     def without(prefix: str, met: Mapping[str, Column], cause: str) -> Column:
         if cause not in met:
             return logs(prefix)
-        return logs(prefix) - F.coalesce(F.col(f"{prefix}_{cause}"), F.lit(0))
+        return (F.coalesce(F.col(prefix), F.lit(1)) - F.coalesce(F.col(f"{prefix}_{cause}"), F.lit(0))).cast(SIDE_COUNT)
 
     pairs = logs("m") * logs("n")
     causes = sorted({r.cause for r in rules})
@@ -90,15 +94,15 @@ def log_grain(tables: Tables, rules: Sequence[Rule] = MODEL_RULES) -> DataFrame:
         )
         for cause in causes
     }
-    counts[UNKNOWN_CAUSE] = F.when(order_met[ANY], F.lit(0)).otherwise(
+    counts[UNKNOWN_CAUSE] = F.when(order_met[ANY], F.lit(0).cast(PAIR_COUNT)).otherwise(
         without("m", stock_met, ANY) * without("n", fleet_met, ANY)
     )
     return orders.select(
         "order_id", "client_name", "city", "status", "order_date", "is_late", "delay_hours", "feedback_rating_avg",
         pairs.alias("fact_rows"),
-        logs("m").alias("warehouse_rows"),
-        logs("n").alias("fleet_rows"),
-        *[n.cast("bigint").alias(f"{cause}_rows") for cause, n in counts.items()],
+        logs("m").cast("bigint").alias("warehouse_rows"),
+        logs("n").cast("bigint").alias("fleet_rows"),
+        *[n.cast(PAIR_COUNT).alias(f"{cause}_rows") for cause, n in counts.items()],
     )
 
 
@@ -125,7 +129,9 @@ def log_grain_causes(grain: DataFrame, joined: bool, rules: Sequence[Rule] = MOD
     """
     weight = F.col("fact_rows") if joined else F.lit(1)
     names = cause_names(rules)
-    sums = grain.agg(*[F.coalesce(F.sum(F.col(f"{c}_rows") * weight), F.lit(0)).alias(c) for c in names])
+    sums = grain.agg(
+        *[F.coalesce(F.sum(F.col(f"{c}_rows") * weight), F.lit(0)).cast(PAIR_COUNT).alias(c) for c in names]
+    )
     return sums.unpivot([], names, "cause", "cause_count").where(F.col("cause_count") > 0)
 
 
@@ -147,7 +153,7 @@ def log_grain_by_warehouse(tables: Tables, grain: DataFrame) -> DataFrame:
     dim = warehouse_dim(tables["dim_warehouses"]).drop(*(WAREHOUSE_DIM_COLUMNS - {"warehouse_name"}))
     rows = (
         grain.join(visits, "order_id", "left")
-        .withColumn("fact_rows", F.coalesce("visits", F.lit(1)) * F.col("fleet_rows"))
+        .withColumn("fact_rows", F.coalesce("visits", F.lit(1)).cast(SIDE_COUNT) * F.col("fleet_rows").cast(SIDE_COUNT))
         .select("warehouse_id", "fact_rows", "is_late", "status")
     )
     # Sums per id first: the names are joined to one row per warehouse.
@@ -156,6 +162,7 @@ def log_grain_by_warehouse(tables: Tables, grain: DataFrame) -> DataFrame:
         F.sum(F.col("is_late") * F.col("fact_rows")).alias("late"),
         F.sum(F.when(failed(), F.col("fact_rows")).otherwise(0)).alias("failures"),
     )
+    # Rates are quotients of whole numbers, taken as double.
     return (
         sums.join(dim, "warehouse_id", "left")
         .groupBy("warehouse_name")

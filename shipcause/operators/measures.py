@@ -56,7 +56,8 @@ def joined_cause_counts(
     """Rows of ``causes JOIN fact USING (order_id)`` per cause, as a count.
 
     Both sides are counted per order first and the counts multiplied, so a repeated ``order_id`` costs
-    one row per order and cause instead of all its pairs.
+    one row per order and cause instead of all its pairs. The counts are decimal(38,0), since such products
+    may exceed bigint.
     """
     scoped = fact.where(everything() if scope is None else scope)
     fact_rows = scoped.groupBy("order_id", *by).agg(F.count(F.lit(1)).alias("fact_rows"))
@@ -64,7 +65,7 @@ def joined_cause_counts(
     return (
         cause_rows.join(fact_rows, "order_id")
         .groupBy(*by, "cause")
-        .agg(F.sum(F.col("cause_rows") * F.col("fact_rows")).alias("cause_count"))
+        .agg(F.sum(F.col("cause_rows").cast("decimal(19,0)") * F.col("fact_rows").cast("decimal(19,0)")).alias("cause_count"))
     )
 
 
