@@ -11,9 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shipcause.functions.values import column
 
-SECOND_TEXT = "yyyy-MM-dd HH:mm:ss"
-
-
 def micros_between(start: str | Column, end: str | Column) -> Column:
     gap = (column(end) - column(start)).cast("interval second")
     return (gap.cast("decimal(18,6)") * 1_000_000).cast("bigint")
@@ -27,12 +24,18 @@ def minutes_between(start: str | Column, end: str | Column) -> Column:
     return micros_between(start, end) / F.lit(6.0e7)
 
 
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
 def try_timestamp(c: str | Column, formats: tuple[str, ...] = ()) -> Column:
     """Timestamp in the text (ISO forms, then ``formats`` in turn), NULL when none fits."""
     c = column(c)
-    parsed = [c.try_cast("timestamp_ntz")]
-    parsed += [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*parsed)
+
+    def by_format(pattern: str) -> Column:  # read as UTC, so that no wall-clock time is missing or doubled
+        instant = F.try_to_timestamp(F.concat(c, F.lit(" Z")), F.lit(pattern + " X"))
+        return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr(EPOCH))
+
+    return F.coalesce(c.try_cast("timestamp_ntz"), *[by_format(f) for f in formats])
 
 
 def strict_timestamp(c: str | Column) -> Column:
@@ -45,16 +48,19 @@ def epoch_nanos(c: str | Column) -> Column:
     c = column(c)
     nanos = F.coalesce(c.try_cast("bigint"), F.floor(c.try_cast("double")).try_cast("bigint"))
     micros = F.floor(nanos / F.lit(1000).cast("decimal(5,0)")).cast("bigint")
-    return F.timestamp_add("MICROSECOND", micros, F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+    return F.timestamp_add("MICROSECOND", micros, F.expr(EPOCH))
 
 
 def to_second(c: str | Column) -> Column:
     """Drop the fraction of a second."""
-    return F.date_trunc("SECOND", column(c)).cast("timestamp_ntz")
+    c = column(c)
+    fraction = F.extract(F.lit("SECOND"), c) % 1
+    return c - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), fraction)
 
 
 def second_text(c: str | Column) -> Column:
-    return F.date_format(column(c), SECOND_TEXT)
+    """``yyyy-MM-dd HH:mm:ss``, without the fraction of a second."""
+    return F.substring(column(c).cast("string"), 1, 19)
 
 
 def normalize_dates(df: DataFrame, names: list[str], formats: tuple[str, ...] = ()) -> DataFrame:

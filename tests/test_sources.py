@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shipcause.fixed import TABLE_FILES
-from shipcause.functions.dates import epoch_nanos, normalize_dates, second_text, strict_timestamp
+from shipcause.functions.dates import epoch_nanos, hours_between, normalize_dates, second_text, strict_timestamp
 from shipcause.functions.values import leading_double, null_if_missing, try_double
 from shipcause.operators import quality
 from shipcause.plans.model import open_model, refresh
@@ -112,6 +112,20 @@ def test_dates(spark):
     assert normalize_dates(other, ["d"], ("dd/MM/yyyy HH:mm",)).first().d == dt.datetime(2025, 1, 2, 3, 4)
 
 
+def test_dates_do_not_depend_on_the_session_time_zone(spark):
+    """02:30 does not exist on that day in New York, and delays span the change of the clocks."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2025-03-09 02:30:00.5", "09/03/2025 02:30", "2025-03-10 02:30:00")], "a string, b string, c string")
+        out = normalize_dates(df, ["a", "b", "c"], ("dd/MM/yyyy HH:mm",))
+        row = out.select("a", "b", second_text("a").alias("text"), hours_between("a", "c").alias("hours")).first()
+        gap = dt.datetime(2025, 3, 9, 2, 30)
+        assert tuple(row) == (gap, gap, "2025-03-09 02:30:00", 24.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_epoch_nanoseconds_only_when_nothing_else_parses(spark):
     nanos = "1735689600000000000"
     alone = spark.createDataFrame([(nanos,), (None,)], "d string")
