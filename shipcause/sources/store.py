@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SCRATCH = uuid.uuid4().hex[:12]
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Without that setting a local session gets a temporary folder; a cluster session is refused, since
-    a folder of one machine would be lost to the others.
+    Without that setting a local session uses Spark's own scratch place, and what it wrote there goes when
+    Python ends. Any other session, also one that does not tell its master, is refused: a folder of one
+    machine would be lost to the others.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", None) or ""
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="shipcause-")
+    scratch = f"{spark.conf.get('spark.local.dir', '/tmp').split(',')[0]}/shipcause-{SCRATCH}"
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+    return scratch
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
