@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from shipcause.llm.bpe import op10_byte_bpe
+from shipcause.llm.mixing import op9_block_mix
 from shipcause.llm.rendezvous import op5_rendezvous_shards
+from shipcause.llm.syncmers import op6_closed_syncmers
 
 QUERIES = {
     "op5_rendezvous_shards": op5_rendezvous_shards,
+    "op6_closed_syncmers": op6_closed_syncmers,
+    "op9_block_mix": op9_block_mix,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
