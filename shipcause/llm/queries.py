@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shipcause.llm.bpe import op10_byte_bpe
 from shipcause.llm.html_text import op2_html_text
+from shipcause.llm.minhash_join import OP8_SQL, op8_minhash_join
 from shipcause.llm.mixing import op9_block_mix
 from shipcause.llm.rendezvous import op5_rendezvous_shards
 from shipcause.llm.syncmers import op6_closed_syncmers
@@ -14,10 +15,12 @@ QUERIES = {
     "op5_rendezvous_shards": op5_rendezvous_shards,
     "op6_closed_syncmers": op6_closed_syncmers,
     "op7_arc_to_warc": op7_arc_to_warc,
+    "op8_minhash_join": op8_minhash_join,
     "op9_block_mix": op9_block_mix,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op7_arc_to_warc": OP7_SQL,
+    "op8_minhash_join": OP8_SQL,
 }
