@@ -29,6 +29,7 @@ MOST = 3
 BLOCK_WORDS = 32
 SHARD_BLOCKS = 1 << 16
 DOCS_PER_CHUNK = 1024
+SLOTS_PER_TASK = 1 << 17
 ROUNDS = 10
 #: Up to so many sources their table (100 bytes a row) is broadcast; beyond, it is joined by shuffling.
 BROADCAST_SOURCES = 10_000
@@ -109,7 +110,12 @@ def slots(targets: DataFrame, block: int, shard_blocks: int, most: int, seed: in
         F.coalesce(F.sum("count").over(inside), F.lit(0)).alias("place"),
         F.sum("count").over(Window.partitionBy("shard")).alias("size"),
     ).filter("count > 0")
-    rows = rows.repartition("shard", "source_no").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    # few rows become many here: dealt out by how many slots there will be, which no estimate of Spark tells
+    tasks = max(1, -(-(rows.agg(F.sum("count")).first()[0] or 0) // SLOTS_PER_TASK))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / SLOTS_PER_TASK))))
+    rows = rows.repartition(tasks, "shard", "source_no", "part")
+    high = F.least(F.col("count"), (F.col("part") + 1) * SLOTS_PER_TASK) - 1
+    rows = rows.withColumn("i", F.explode(F.sequence(F.col("part") * SLOTS_PER_TASK, high)))
     j = F.col("first") + F.col("i")
     rows = rows.filter(j < F.col("n") * most).withColumn("turn", F.floor(j / F.col("n")))
     key = F.lit(seed), F.col("source_no"), F.col("turn")
@@ -173,11 +179,11 @@ class Mix:
         return slots(self.targets, self.block, self.shard_blocks, self.most, self.seed)
 
     def contents(self) -> DataFrame:
-        return self.slots().join(pieces(self.rows, self.block), ["source_no", "block"])
+        return pieces(self.rows, self.block).join(self.slots().hint("merge"), ["source_no", "block"])
 
     def taken(self) -> DataFrame:
         times = self.slots().groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-        parts = pieces(self.rows, self.block).join(times, ["source_no", "block"])
+        parts = pieces(self.rows, self.block).join(times.hint("merge"), ["source_no", "block"])  # not small, whatever the estimate
         # documents with words have a start of their own in their source
         sums = parts.groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         some = self.rows.filter("size > 0").join(sums, ["source_no", "start"], "left")
