@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shipcause.llm.ann_graph import op3_pruned_graph
 from shipcause.llm.bpe import op10_byte_bpe
 from shipcause.llm.html_text import op2_html_text
 from shipcause.llm.minhash_join import OP8_SQL, op8_minhash_join
@@ -12,6 +13,7 @@ from shipcause.llm.warc import OP7_SQL, op7_arc_to_warc
 
 QUERIES = {
     "op2_html_text": op2_html_text,
+    "op3_pruned_graph": op3_pruned_graph,
     "op5_rendezvous_shards": op5_rendezvous_shards,
     "op6_closed_syncmers": op6_closed_syncmers,
     "op7_arc_to_warc": op7_arc_to_warc,
