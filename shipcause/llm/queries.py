@@ -7,6 +7,7 @@ from shipcause.llm.bpe import op10_byte_bpe
 from shipcause.llm.html_text import op2_html_text
 from shipcause.llm.minhash_join import OP8_SQL, op8_minhash_join
 from shipcause.llm.mixing import op9_block_mix
+from shipcause.llm.quality_nbsvm import op4_nbsvm_quality
 from shipcause.llm.rendezvous import op5_rendezvous_shards
 from shipcause.llm.syncmers import op6_closed_syncmers
 from shipcause.llm.warc import OP7_SQL, op7_arc_to_warc
@@ -14,6 +15,7 @@ from shipcause.llm.warc import OP7_SQL, op7_arc_to_warc
 QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_pruned_graph": op3_pruned_graph,
+    "op4_nbsvm_quality": op4_nbsvm_quality,
     "op5_rendezvous_shards": op5_rendezvous_shards,
     "op6_closed_syncmers": op6_closed_syncmers,
     "op7_arc_to_warc": op7_arc_to_warc,
