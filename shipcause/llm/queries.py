@@ -10,9 +10,11 @@ from shipcause.llm.mixing import op9_block_mix
 from shipcause.llm.quality_nbsvm import op4_nbsvm_quality
 from shipcause.llm.rendezvous import op5_rendezvous_shards
 from shipcause.llm.syncmers import op6_closed_syncmers
+from shipcause.llm.toxicity import op1_clause_toxicity
 from shipcause.llm.warc import OP7_SQL, op7_arc_to_warc
 
 QUERIES = {
+    "op1_clause_toxicity": op1_clause_toxicity,
     "op2_html_text": op2_html_text,
     "op3_pruned_graph": op3_pruned_graph,
     "op4_nbsvm_quality": op4_nbsvm_quality,
