@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from shipcause.llm.ann_graph import op3_pruned_graph
 from shipcause.llm.bpe import op10_byte_bpe
 from shipcause.llm.html_text import op2_html_text
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash_join": op8_minhash_join,
     "op9_block_mix": op9_block_mix,
     "op10_byte_bpe": op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
