@@ -81,11 +81,11 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit_hinge(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: np.ndarray, epochs: int = 30) -> np.ndarray:
+def fit_hinge(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: np.ndarray, epochs: int = 30, tolerance: float = 0.05) -> np.ndarray:
     """Weights (the last one is the bias) that minimise |w|^2 / 2 + sum c_i max(0, 1 - y_i w.x_i).
 
     ``rows`` are the n-grams of each document, x their ``scale`` and a 1 for the bias. Dual coordinate descent in
-    random order; stops when no projected gradient of an epoch is large.
+    random order; stops when no projected gradient of an epoch is above ``tolerance``.
     """
     w = np.zeros(len(scale) + 1)
     alpha = np.zeros(len(rows))
@@ -103,7 +103,7 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: np.nd
                 new = min(max(alpha[i] - g / norm[i], 0.0), c[i])
                 w[at[i]] += (new - alpha[i]) * y[i] * x[i]
                 alpha[i] = new
-        if worst < 0.05:
+        if worst <= tolerance:
             break
     return w
 
