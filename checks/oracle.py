@@ -191,7 +191,7 @@ PARTS = {
         select *, {micros('picking_start', 'picking_end')} / 6e7 picking_minutes,
             {micros('picking_end', 'dispatch_time')} / 6e7 dispatch_lag_minutes from raw_warehouse_logs""",
     "fl_hours": f"""
-        select * exclude (driver_id, created_at), cast(driver_id as integer) driver_id, created_at created_at_fleet,
+        select * exclude (driver_id, created_at), cast(driver_id as bigint) driver_id, created_at created_at_fleet,
             {micros('departure_time', 'arrival_time')} / 3.6e9 transit_hours from raw_fleet_logs""",
     "wl_cli": firsts(
         "wl_minutes",
@@ -438,6 +438,17 @@ LOG_COUNTS = ", ".join(
 )
 
 
+#: Counts over the log grain, compared as text.
+WIDE_COUNTS = {
+    "fact_order_log_grain": ["fact_rows", *(f"{c}_rows" for c in sorted([*MODEL_CAUSES, "unknown"]))],
+    "log_grain_kpis": ["total_orders"],
+    "log_grain_causes": ["cause_count"],
+    "log_grain_top_causes": ["cause_count"],
+    "log_grain_warehouse_kpis": ["total_orders"],
+    "top_causes": ["cause_count"],
+}
+
+
 def oracles() -> dict[str, str]:
     out: dict[str, str] = {}
     out["load_row_counts"] = oracle(
@@ -648,4 +659,14 @@ def oracles() -> dict[str, str]:
         for c in ("order_date", "created_at")
     ))
     out["dq_orphan_keys"] = oracle(" union all ".join(orphan(*r) for r in ORPHANS))
+    out["feedback_text_rows"] = oracle(
+        "select order_id, load_seq \"position\", lower(coalesce(feedback_text, '')) piece from raw_feedback where order_id is not null"
+    )
+    out["causes_from_saved_fact"] = oracle(causes)
+    out["csv_compact_dates"] = oracle("""
+        select order_id, date_trunc('day', order_date) order_date, date_trunc('minute', promised_delivery_date) promised_delivery_date
+        from raw_orders""")
+    for name, columns in WIDE_COUNTS.items():
+        texts = ", ".join(f"cast({c} as varchar) {c}" for c in columns)
+        out[name] = f"select * replace ({texts}) from ({out[name]})"
     return out

@@ -20,7 +20,7 @@ from shipcause.functions.dates import (
 )
 from shipcause.functions.values import labels_where, normalize_missing
 from shipcause.operators import measures, quality, scopes
-from shipcause.operators.causes import distinct_recommendations, explode_causes
+from shipcause.operators.causes import distinct_recommendations, explode_causes, infer_causes
 from shipcause.operators.fact import (
     build_fact,
     dispatch_lag_minutes,
@@ -35,7 +35,7 @@ from shipcause.operators.fanout import (
     log_grain_kpis,
     log_grain_top_causes,
 )
-from shipcause.operators.feedback import feedback_summary_cli, feedback_summary_model, feedback_text
+from shipcause.operators.feedback import feedback_summary_cli, feedback_summary_model, feedback_text, feedback_text_rows
 from shipcause.operators.firsts import first_row_per_key, first_value_per_key, worst_factor
 from shipcause.operators.insights import insights_by, insights_grouping_sets, onboarding
 from shipcause.plans import scenarios, templates
@@ -44,7 +44,7 @@ from shipcause.plans.questions import route_questions
 from shipcause.schemas import FACT_COLUMNS, SEQ
 from shipcause.sources.query import run_query, run_select
 from shipcause.sources.store import new_folder, write_csv, write_table
-from shipcause.sources.tables import load_csv_tables, row_counts
+from shipcause.sources.tables import load_csv_tables, normalize, read_csv, row_counts
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,9 +83,9 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def small_counts(df: DataFrame) -> DataFrame:
-    """Wide decimal counts as bigint, which holds them on the test tables."""
-    return df.withColumns({n: F.col(n).cast("bigint") for n, t in df.dtypes if t.startswith("decimal")})
+def counts_as_text(df: DataFrame) -> DataFrame:
+    """Wide decimal counts as text, which holds them at any size."""
+    return df.withColumns({n: F.col(n).cast("string") for n, t in df.dtypes if t.startswith("decimal")})
 
 
 def kpi_row(df: DataFrame) -> DataFrame:
@@ -270,24 +270,24 @@ def fact_order_cli(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fact_order_log_grain(spark: SparkSession, folder: str) -> DataFrame:
-    return small_counts(rounded(log_grain(load_tables(spark, folder)), "feedback_rating_avg"))
+    return counts_as_text(rounded(log_grain(load_tables(spark, folder)), "feedback_rating_avg"))
 
 
 def q_log_grain_kpis(spark: SparkSession, folder: str) -> DataFrame:
-    return small_counts(kpi_row(log_grain_kpis(log_grain(load_tables(spark, folder)), by=["city"])))
+    return counts_as_text(kpi_row(log_grain_kpis(log_grain(load_tables(spark, folder)), by=["city"])))
 
 
 def q_log_grain_causes(spark: SparkSession, folder: str) -> DataFrame:
-    return small_counts(log_grain_causes(log_grain(load_tables(spark, folder)), joined=False))
+    return counts_as_text(log_grain_causes(log_grain(load_tables(spark, folder)), joined=False))
 
 
 def q_log_grain_top_causes(spark: SparkSession, folder: str) -> DataFrame:
-    return small_counts(log_grain_top_causes(log_grain(load_tables(spark, folder))))
+    return counts_as_text(log_grain_top_causes(log_grain(load_tables(spark, folder))))
 
 
 def log_grain_warehouse_kpis(spark: SparkSession, folder: str) -> DataFrame:
     tables = load_tables(spark, folder)
-    return small_counts(kpi_row(log_grain_by_warehouse(tables, log_grain(tables))))
+    return counts_as_text(kpi_row(log_grain_by_warehouse(tables, log_grain(tables))))
 
 
 def causes_model(spark: SparkSession, folder: str) -> DataFrame:
@@ -325,7 +325,7 @@ def kpi_scope(spark: SparkSession, folder: str) -> DataFrame:
 def top_causes(spark: SparkSession, folder: str) -> DataFrame:
     """The cause table joined back to the fact, as counts."""
     fact = model(spark, folder, "order_id", "city", "order_date")
-    return small_counts(measures.top(measures.joined_cause_counts(causes_model(spark, folder), fact, city_scope())))
+    return counts_as_text(measures.top(measures.joined_cause_counts(causes_model(spark, folder), fact, city_scope())))
 
 
 def samples_scope(spark: SparkSession, folder: str) -> DataFrame:
@@ -508,9 +508,29 @@ def dq_invalid_dates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dq_orphan_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """References checked against an order table that lacks every fifth order."""
+    """References checked against an order table in which every fifth order has another id."""
     tables = load_tables(spark, folder)
-    return quality.orphan_keys(tables | {"raw_orders": tables["raw_orders"].where("order_id % 5 <> 0")})
+    renamed = F.when(F.col("order_id") % 5 == 0, -F.col("order_id")).otherwise(F.col("order_id"))
+    return quality.orphan_keys(tables | {"raw_orders": tables["raw_orders"].withColumn("order_id", renamed)})
+
+
+def q_feedback_text_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return feedback_text_rows(load_tables(spark, folder)["raw_feedback"])
+
+
+def causes_from_saved_fact(spark: SparkSession, folder: str) -> DataFrame:
+    """Causes inferred again from the fact as it was saved."""
+    saved = save_model(load_tables(spark, folder), new_folder(spark, "model")).fact
+    return explode_causes(infer_causes(saved.drop("causes")))
+
+
+def csv_compact_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders written as CSV with days as one number and instants in a regional form, and loaded back."""
+    path = f"{new_folder(spark, 'csv')}/orders.csv"
+    orders = load_tables(spark, folder)["raw_orders"]
+    day, region = F.date_format("order_date", "yyyyMMdd"), F.date_format("promised_delivery_date", "MM/dd/yyyy HH:mm")
+    write_csv(orders.select("order_id", day.alias("order_date"), region.alias("promised_delivery_date")), path)
+    return normalize(read_csv(spark, path, False), "raw_orders", ("MM/dd/yyyy HH:mm",)).drop(SEQ)
 
 
 QUERIES: dict[str, Query] = {
@@ -586,4 +606,7 @@ QUERIES: dict[str, Query] = {
     "dq_duplicate_orders": dq_duplicate_orders,
     "dq_invalid_dates": dq_invalid_dates,
     "dq_orphan_keys": dq_orphan_keys,
+    "feedback_text_rows": q_feedback_text_rows,
+    "causes_from_saved_fact": causes_from_saved_fact,
+    "csv_compact_dates": csv_compact_dates,
 }

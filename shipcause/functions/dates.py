@@ -25,17 +25,20 @@ def minutes_between(start: str | Column, end: str | Column) -> Column:
 
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+#: Dates written as one number.
+COMPACT = ("yyyyMMdd", "yyyyMMddHHmm", "yyyyMMddHHmmss")
 
 
 def try_timestamp(c: str | Column, formats: tuple[str, ...] = ()) -> Column:
-    """Timestamp in the text (ISO forms, then ``formats`` in turn), NULL when none fits."""
+    """Timestamp in the text (ISO forms, compact ones, then ``formats`` in turn), NULL when none fits."""
     c = column(c)
 
     def by_format(pattern: str) -> Column:  # read as UTC, so that no wall-clock time is missing or doubled
         instant = F.try_to_timestamp(F.concat(c, F.lit(" Z")), F.lit(pattern + " X"))
         return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr(EPOCH))
 
-    return F.coalesce(c.try_cast("timestamp_ntz"), *[by_format(f) for f in formats])
+    compact = [F.when(F.trim(c).rlike(f"^[0-9]{{{len(f)}}}$"), by_format(f)) for f in COMPACT]
+    return F.coalesce(c.try_cast("timestamp_ntz"), *compact, *[by_format(f) for f in formats])
 
 
 def strict_timestamp(c: str | Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -21,6 +21,7 @@ from shipcause.fixed import (
 from shipcause.functions.values import labels_where
 
 TEXT = "text"  # stands for all text fields of an order together
+FEEDBACK = "feedback"  # tells whether a word occurs in any of the order's feedback texts
 
 
 @dataclass(frozen=True)
@@ -32,12 +33,12 @@ class Rule:
     column: str
     value: object = None
 
-    def holds(self, fields: Mapping[str, Column]) -> Column:
+    def holds(self, fields: Mapping[str, Column | Callable[[str], Column]]) -> Column:
         c = fields[self.column]
         if self.test == "contains":
             found = c.contains(F.lit(self.value))
-            if "feedback_needles" in fields:
-                found = found | F.array_contains(fields["feedback_needles"], self.value)
+            if FEEDBACK in fields:
+                found = found | fields[FEEDBACK](self.value)
             return found
         if self.test == "over":
             return c > F.lit(self.value)
@@ -48,7 +49,7 @@ class Rule:
         if self.test == "not_empty":
             return c != F.lit("")
         if self.test == "not_blank":
-            return F.trim(c) != F.lit("")
+            return c.rlike(r"(?U)\S")
         if self.test == "is_true":
             return c.cast("boolean")
         if self.test == "tagged":
@@ -99,6 +100,27 @@ def text_blob(fields: Iterable[str]) -> Column:
     return F.lower(F.concat_ws(" ", *fields))
 
 
+def feedback_holds(fact: DataFrame) -> Callable[[str], Column] | None:
+    """How to ask whether a word occurs in an order's feedback; None for a fact without feedback.
+
+    The words that ``feedback_needles`` was made for are looked up there, others in the joined text. A word
+    that neither covers is an error, not an absence.
+    """
+    names = {f.name: f for f in fact.schema.fields}
+    if not names.keys() & {"feedback_needles", "feedback_text_concat"}:
+        return None
+    covered = names["feedback_needles"].metadata.get("words", []) if "feedback_needles" in names else []
+
+    def holds(word: str) -> Column:
+        if word in covered:
+            return F.coalesce(F.array_contains("feedback_needles", word), F.lit(False))
+        if "feedback_text_concat" in names:
+            return F.coalesce(F.col("feedback_text_concat").contains(F.lit(word)), F.lit(False))
+        raise ValueError(f"the fact does not tell whether feedback holds {word!r}; it was built for {covered}")
+
+    return holds
+
+
 def cause_conditions(rules: Sequence[Rule], fields: Mapping[str, Column]) -> dict[str, Column]:
     """One condition per cause, by cause name. A NULL condition counts as not met."""
     out: dict[str, Column] = {}
@@ -117,10 +139,12 @@ def infer_causes(
     """Add ``causes``: the sorted array of distinct causes of a row.
 
     Without any cause it is ``[unknown]``, or empty when ``unknown`` is None. Feedback texts take part
-    through ``feedback_needles`` (which words occur in any text of the order) when the fact has it.
+    through ``feedback_needles`` (which words occur in any text of the order) or ``feedback_text_concat``.
     """
     fact = fact.withColumn("_text", text_blob(text_fields))
     fields = {c: F.col(c) for c in fact.columns} | {TEXT: F.col("_text")}
+    if said := feedback_holds(fact):
+        fields[FEEDBACK] = said
     fact = fact.withColumn("causes", labels_where(cause_conditions(rules, fields))).drop("_text")
     if unknown is None:
         return fact
@@ -130,6 +154,7 @@ def infer_causes(
 
 
 def infer_causes_cli(fact: DataFrame, rules: Sequence[Rule] = CLI_RULES) -> DataFrame:
+    """Feedback takes part through ``feedback_tags`` alone."""
     return infer_causes(fact, rules, CLI_TEXT_FIELDS, unknown=None)
 
 

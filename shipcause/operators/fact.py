@@ -20,7 +20,7 @@ from shipcause.operators.causes import (
     needles,
     rule_columns,
 )
-from shipcause.operators.feedback import MAX_TEXT_CHARS, feedback_summary_cli, feedback_summary_model, feedback_text
+from shipcause.operators.feedback import feedback_summary_cli, feedback_summary_model, feedback_text
 from shipcause.operators.firsts import first_row_per_key, first_value_per_key, worst_factor
 from shipcause.schemas import FACT_COLUMNS, SEQ
 
@@ -99,7 +99,6 @@ def build_fact(
     preset: str = "model",
     columns: Sequence[str] | None = None,
     rules: Sequence[Rule] = MODEL_RULES,
-    max_text_chars: int = MAX_TEXT_CHARS,
     tags: Mapping[str, str] = FEEDBACK_TAGS,
 ) -> DataFrame:
     """One row per order.
@@ -112,15 +111,13 @@ def build_fact(
     are unique by contract (``quality.duplicate_keys`` reports breaches).
     """
     if preset == "model":
-        return _model_fact(tables, columns, rules, max_text_chars)
+        return _model_fact(tables, columns, rules)
     if preset == "cli":
         return _cli_fact(tables, columns, dict(tags))
     raise ValueError(f"unknown preset {preset!r}")
 
 
-def _model_fact(
-    tables: Tables, columns: Sequence[str] | None, rules: Sequence[Rule], max_text_chars: int
-) -> DataFrame:
+def _model_fact(tables: Tables, columns: Sequence[str] | None, rules: Sequence[Rule]) -> DataFrame:
     wanted = list(columns) if columns else [*FACT_COLUMNS, MONTH, "feedback_needles"]
     need = set(wanted)
 
@@ -143,7 +140,7 @@ def _model_fact(
     if need & FEEDBACK_COLUMNS:
         orders = orders.join(feedback_summary_model(tables["raw_feedback"], needles(rules)), "order_id", "left")
     if "feedback_text_concat" in need:
-        orders = orders.join(feedback_text(tables["raw_feedback"], max_text_chars), "order_id", "left")
+        orders = orders.join(feedback_text(tables["raw_feedback"]), "order_id", "left")
 
     derived = {
         "amount": as_double(tables["raw_orders"], "amount"),
@@ -186,7 +183,7 @@ def _cli_fact(tables: Tables, columns: Sequence[str] | None, tags: dict[str, str
         fact = fact.join(stock, "order_id", "left")
 
     fleet = tables["raw_fleet_logs"].withColumns(
-        {"driver_id": F.col("driver_id").cast("int"), "transit_hours": transit_hours()}
+        {"driver_id": F.col("driver_id").cast("bigint"), "transit_hours": transit_hours()}
     )
     fleet = _first_values(fleet, fact, "_fleet", need)
     if fleet is not None:

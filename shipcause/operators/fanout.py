@@ -19,7 +19,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipcause.fixed import UNKNOWN_CAUSE
-from shipcause.operators.causes import MODEL_RULES, TEXT, Rule, cause_conditions, needles
+from shipcause.operators.causes import FEEDBACK, MODEL_RULES, TEXT, Rule, cause_conditions, feedback_holds, needles
 from shipcause.operators.fact import (
     Tables,
     WAREHOUSE_DIM_COLUMNS,
@@ -74,7 +74,8 @@ def log_grain(tables: Tables, rules: Sequence[Rule] = MODEL_RULES) -> DataFrame:
     )
     order_fields = {
         TEXT: F.lower("failure_reason"),
-        **{c: F.col(c) for c in ("feedback_needles", "traffic_score", "weather_condition", "event_type", "is_late")},
+        FEEDBACK: feedback_holds(orders),
+        **{c: F.col(c) for c in ("traffic_score", "weather_condition", "event_type", "is_late")},
     }
     order_met = _met_in(rules, order_fields)
 

@@ -11,7 +11,6 @@ from shipcause.functions.values import labels_where, leading_double, try_double
 from shipcause.schemas import SEQ
 
 TEXT_SEPARATOR = " || "
-MAX_TEXT_CHARS = 1 << 24
 
 
 def _labels_found(needles: dict[str, str]) -> Column:
@@ -30,14 +29,18 @@ def _labels_found(needles: dict[str, str]) -> Column:
 
 def feedback_summary_model(feedback: DataFrame, needles: Iterable[str] = ()) -> DataFrame:
     """Mean rating (a text that is no number counts as 0), alphabetically last sentiment and, for the
-    rules, which of ``needles`` occur in any of the order's texts."""
+    rules, which of ``needles`` occur in any of the order's texts.
+
+    The words looked for stand in the metadata of ``feedback_needles``, also in saved tables.
+    """
     aggs = [
         F.avg(leading_double("rating")).alias("feedback_rating_avg"),
         F.max("sentiment").alias("feedback_sentiment_top"),
     ]
     needles = list(needles)
     if needles:
-        aggs.append(_labels_found({n: n for n in needles}).alias("feedback_needles"))
+        found = _labels_found({n: n for n in needles})
+        aggs.append(found.alias("feedback_needles", metadata={"words": sorted(needles)}))
     return feedback.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(*aggs)
 
 
@@ -66,34 +69,20 @@ def feedback_summary_cli(feedback: DataFrame, tags: dict[str, str] = FEEDBACK_TA
     )
 
 
-def _long_orders(feedback: DataFrame, max_chars: int) -> DataFrame:
-    """Orders with more than ``max_chars`` of text: at most (all characters / max_chars) of them.
-
-    That bound is what allows the broadcast: at 2**24 characters per order, 100 TB of text hold no more
-    than six million such ids. Under 2**20 the bound says little, and Spark chooses the join.
-    """
-    chars = F.length(F.coalesce(F.col("feedback_text"), F.lit(""))) + len(TEXT_SEPARATOR)
-    totals = feedback.groupBy("order_id").agg(F.sum(chars).alias("chars"))
-    long = totals.where(F.col("chars") > max_chars).select("order_id")
-    return F.broadcast(long) if max_chars >= 1 << 20 else long
-
-
-def feedback_text(feedback: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
+def feedback_text(feedback: DataFrame) -> DataFrame:
     """All texts of an order, lower-cased and joined in source order; a NULL text is an empty piece.
 
-    One joined text has to fit in one row. Orders whose texts together exceed ``max_chars`` are therefore
-    not joined here; :func:`feedback_text_rows` returns them whole, one row per piece.
+    Every order is there, and its text has to fit in one row: the job fails where one cannot.
+    :func:`feedback_text_rows` has the same texts without that condition.
     """
-    rows = feedback.where(F.col("order_id").isNotNull())
-    short = rows.join(_long_orders(rows, max_chars), "order_id", "left_anti")
     joined = F.expr(
         f"listagg(lower(coalesce(feedback_text, '')), '{TEXT_SEPARATOR}') within group (order by {SEQ})"
     )
-    return short.groupBy("order_id").agg(joined.alias("feedback_text_concat"))
+    rows = feedback.where(F.col("order_id").isNotNull())
+    return rows.groupBy("order_id").agg(joined.alias("feedback_text_concat"))
 
 
-def feedback_text_rows(feedback: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """The pieces of the orders that :func:`feedback_text` leaves out: order, position, lower-cased text."""
+def feedback_text_rows(feedback: DataFrame) -> DataFrame:
+    """The texts of all orders, one row per piece: order, position, lower-cased text."""
     rows = feedback.where(F.col("order_id").isNotNull())
-    long = rows.join(_long_orders(rows, max_chars), "order_id", "left_semi")
-    return long.select("order_id", SEQ, F.lower(F.coalesce("feedback_text", F.lit(""))).alias("piece"))
+    return rows.select("order_id", F.col(SEQ).alias("position"), F.lower(F.coalesce("feedback_text", F.lit(""))).alias("piece"))

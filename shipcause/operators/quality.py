@@ -34,7 +34,7 @@ def null_keys(tables: Tables) -> DataFrame:
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """Key values that occur more than once, with the number of rows."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
 
 
 def invalid_dates(raw: DataFrame, table: str) -> DataFrame:

@@ -38,7 +38,7 @@ def equals_ignore_case(name: str, value: str | None) -> Column | None:
 
 def matches(name: str, pattern: str | None) -> Column | None:
     """The regular expression occurs in the text, case apart; NULL does not match."""
-    return F.coalesce(F.col(name).rlike("(?i)" + pattern), F.lit(False)) if pattern else None
+    return F.coalesce(F.col(name).rlike("(?iu)" + pattern), F.lit(False)) if pattern else None
 
 
 def one_of(name: str, values: list) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shipcause.operators.causes import MODEL_RULES, Rule, explode_causes, infer_causes
 from shipcause.operators.fact import MONTH, build_fact
-from shipcause.operators.feedback import feedback_summary_model, feedback_text
+from shipcause.operators.feedback import feedback_summary_model, feedback_text, feedback_text_rows
 from shipcause.operators.firsts import worst_factor
 from shipcause.operators.measures import cause_counts, model_stats
 from shipcause.sources.presence import require_sources
@@ -32,6 +32,7 @@ class Model:
                 "v_feedback_summary": feedback_summary_model(self.tables["raw_feedback"]).join(
                     feedback_text(self.tables["raw_feedback"]), "order_id", "left"
                 ),
+                "feedback_text_rows": feedback_text_rows(self.tables["raw_feedback"]),
                 "fact_order_analysis": self.fact,
                 "fact_order_causes": self.causes,
                 "v_cause_summary": cause_counts(self.fact),
@@ -46,8 +47,9 @@ class Model:
 
 
 def model_of(tables: Mapping[str, DataFrame], rules: Sequence[Rule] = MODEL_RULES) -> Model:
-    """The model over the tables as lazy plans."""
-    fact = infer_causes(build_fact(tables, "model", rules=rules), rules).drop("feedback_needles")
+    """The model over the tables as lazy plans. The fact keeps which words its feedback holds, so that
+    causes can be inferred from it again."""
+    fact = infer_causes(build_fact(tables, "model", rules=rules), rules)
     return Model(tables, fact, explode_causes(fact))
 
 
@@ -58,10 +60,15 @@ def save_model(tables: Mapping[str, DataFrame], folder: str, rules: Sequence[Rul
     return Model(tables, saved, causes)
 
 
-def refresh(spark: SparkSession, data_folder: str, folder: str, multi_line: bool | None = None) -> Model:
-    """CSV files to tables, tables to fact and causes; everything below ``folder`` is replaced."""
+def refresh(
+    spark: SparkSession, data_folder: str, folder: str, multi_line: bool | None = None, formats: Sequence[str] = ()
+) -> Model:
+    """CSV files to tables, tables to fact and causes; everything below ``folder`` is replaced.
+
+    ``formats`` are date patterns to try after the ISO forms.
+    """
     require_sources(spark, data_folder)
-    loaded = load_csv_tables(spark, data_folder, multi_line)
+    loaded = load_csv_tables(spark, data_folder, multi_line, formats)
     tables = {name: write_table(df, f"{folder}/{name}") for name, df in loaded.items()}
     model = save_model(tables, folder)
     model.register()

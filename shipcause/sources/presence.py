@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shipcause.fixed import TABLE_FILES
 
-FILE_NAME = r"/([^/]+\.csv)(?:/[^/]*)?$"
+FILE_NAME = r"^/([^/]+\.csv)(?:/[^/]*)?$"  # right below the folder, a file or a folder of parts
 
 
 def source_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,7 +18,9 @@ def source_report(spark: SparkSession, folder: str) -> DataFrame:
         listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     except AnalysisException as e:
         raise FileNotFoundError(f"data folder not found: {folder}") from e
-    names = listing.select(F.regexp_extract("path", FILE_NAME, 1).alias("file_name")).distinct()
+    top = F.length(F.regexp_replace(F.lit(folder.rstrip("/")), "^[a-z0-9]+:/*", "/"))
+    below = F.substring(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?/*", "/"), top + 1, F.length("path"))
+    names = listing.select(F.regexp_extract(below, FILE_NAME, 1).alias("file_name")).distinct()
     expected = spark.createDataFrame(list(TABLE_FILES.items()), "table_name string, file_name string")
     found = expected.join(names, "file_name", "left_semi").withColumn("present", F.lit(True))
     missing = expected.join(names, "file_name", "left_anti").withColumn("present", F.lit(False))

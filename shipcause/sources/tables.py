@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -53,10 +53,12 @@ def normalize(df: DataFrame, table: str, formats: tuple[str, ...] = ()) -> DataF
     return df.withColumns({c: F.col(c).cast("bigint") for c in ids}) if ids else df
 
 
-def load_csv_tables(spark: SparkSession, folder: str, multi_line: bool | None = None) -> dict[str, DataFrame]:
+def load_csv_tables(
+    spark: SparkSession, folder: str, multi_line: bool | None = None, formats: Sequence[str] = ()
+) -> dict[str, DataFrame]:
     """The eight tables of a folder of CSV files, typed and normalised, lazily."""
     return {
-        table: normalize(read_csv(spark, f"{folder}/{file}", multi_line), table)
+        table: normalize(read_csv(spark, f"{folder}/{file}", multi_line), table, tuple(formats))
         for table, file in TABLE_FILES.items()
     }
 

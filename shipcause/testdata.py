@@ -69,13 +69,13 @@ def table_texts(d: Dialect) -> dict[str, str]:
                 {item_seq}
             from lineitem""",
         "raw_fleet_logs": f"""
-            select l_orderkey order_id, l_partkey % 500 driver_id, concat('V', cast(l_suppkey as {d.text})) vehicle_number,
+            select l_orderkey order_id, l_partkey driver_id, concat('V', cast(l_suppkey as {d.text})) vehicle_number,
                 concat('R', cast(l_linenumber as {d.text})) route_code,
                 case l_partkey % 5 when 0 then 'Heavy congestion' when 1 then 'Breakdown'
                      when 2 then 'Address not found' end gps_delay_notes,
                 l_shipdate departure_time, {d.add('hour', '1 + round(l_tax * 100)', 'l_shipdate')} arrival_time,
                 l_shipdate created_at, {item_seq}
-            from lineitem where l_linenumber % 2 = 1""",
+            from lineitem""",
         "raw_external_factors": f"""
             select cast(floor(event_id / 3) as bigint) order_id, {d.seq('event_id')}, {d.hour('ts')} recorded_at,
                 case event_type when 'error' then 'Heavy' when 'click' then 'Moderate' when 'view' then 'Clear'
@@ -101,7 +101,7 @@ def table_texts(d: Dialect) -> dict[str, str]:
         "dim_drivers": f"""
             select p_partkey driver_id, concat('Driver ', cast(p_partkey as {d.text})) driver_name,
                 {d.instant('2020-01-03 00:00:00')} created_at
-            from part where p_partkey < 500""",
+            from part""",
     }
 
 

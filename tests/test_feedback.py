@@ -35,13 +35,13 @@ def test_text_is_lowered_and_joined_in_order(spark):
     assert feedback_text(df).first().feedback_text_concat == "a ||  || b"
 
 
-def test_long_texts_stay_whole_as_rows(spark):
-    rows = [{"order_id": o, "feedback_text": "x" * 10} for o in (1, 1, 1, 2)]
+def test_texts_of_all_orders_as_rows(spark):
+    rows = [{"order_id": o, "feedback_text": t} for o, t in ((1, "A" * 10), (1, None), (1, "C"), (2, "D"), (None, "E"))]
     df = table(spark, "raw_feedback", rows)
-    joined = {r.order_id: r.feedback_text_concat for r in feedback_text(df, max_chars=30).collect()}
-    pieces = [(r.order_id, r.piece) for r in feedback_text_rows(df, max_chars=30).collect()]
-    assert joined == {2: "x" * 10}
-    assert pieces == [(1, "x" * 10)] * 3
+    joined = {r.order_id: r.feedback_text_concat for r in feedback_text(df).collect()}
+    pieces = [(r.order_id, r.piece) for r in feedback_text_rows(df).orderBy("order_id", "position").collect()]
+    assert joined == {1: "aaaaaaaaaa ||  || c", 2: "d"}
+    assert pieces == [(1, "a" * 10), (1, ""), (1, "c"), (2, "d")]
 
 
 def test_tags(spark):
