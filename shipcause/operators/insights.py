@@ -20,6 +20,7 @@ from shipcause.fixed import (
 )
 from shipcause.functions.values import labels_where, round_half_even
 from shipcause.operators.causes import action_for
+from shipcause.sources.store import new_folder, write_table
 
 DIMENSIONS = ["city", "client_name", "warehouse_name"]
 
@@ -81,15 +82,27 @@ def _sample_orders(fact: DataFrame, by: Sequence[str], k: int, distinct_orders:
     return per_scope.select(*by, F.slice(repeated, 1, k).alias("sample_orders"))
 
 
+def built_once(fact: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """What the insights read of the fact, written to the shared folder: both passes start from there, so the
+    joins and the rules above them run once."""
+    narrow = fact.select(*columns, "order_id", "delay_hours", "is_late", "causes")
+    return write_table(narrow, new_folder(fact.sparkSession, "insights"))
+
+
 def insights_by(
     fact: DataFrame,
     by: Sequence[str],
     k: int = 5,
     actions: Mapping[str, str] = MODEL_ACTIONS,
     distinct_orders: bool = False,
+    saved: bool = False,
 ) -> DataFrame:
-    """One insight for each value of ``by``: order count, rounded late rate, ranked causes, actions, samples."""
+    """One insight for each value of ``by``: order count, rounded late rate, ranked causes, actions, samples.
+
+    ``saved`` tells that ``fact`` is read from a table, which costs little to read twice.
+    """
     by = list(by)
+    fact = fact if saved else built_once(fact, by)
     key = F.struct(*by).alias("scope_key")  # NULL is a scope like any other
     summary = _summary(fact, by, k, actions).select(key, "*")
     worst = _sample_orders(fact, by, k, distinct_orders).select(key, "sample_orders")
@@ -122,17 +135,20 @@ def insights(
     return with_narrative(_without_nulls(asked.join(found, "scope", "left")))
 
 
-def insights_grouping_sets(fact: DataFrame, dimensions: Sequence[str] = DIMENSIONS, k: int = 5) -> DataFrame:
-    """Insights for every value of every dimension and for the whole network, in one job.
+def insights_grouping_sets(
+    fact: DataFrame, dimensions: Sequence[str] = DIMENSIONS, k: int = 5, saved: bool = False
+) -> DataFrame:
+    """Insights for every value of every dimension and for the whole network at once.
 
     Same rows as ``GROUPING SETS ((city), (client_name), (warehouse_name), ())``.
     """
+    fact = fact if saved else built_once(fact, dimensions)
     labels = [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions]
     labels.append(F.struct(F.lit("network").alias("dimension"), F.lit(None).cast("string").alias("value")))
     tagged = fact.select("*", F.explode_outer(F.array(*labels)).alias("label")).select(
         "label.*", "order_id", "delay_hours", "is_late", "causes"
     )
-    return insights_by(tagged, ["dimension", "value"], k)
+    return insights_by(tagged, ["dimension", "value"], k, saved=True)
 
 
 def rate_text(c: str | Column = "late_rate") -> Column:

@@ -151,14 +151,15 @@ def date_ranges(tables: Mapping[str, DataFrame]) -> DataFrame:
 def model_stats(fact: DataFrame) -> DataFrame:
     """Fact rows, cause rows and distinct causes as (metric, value) rows.
 
-    The causes are counted by name first, so the second aggregate sees a handful of rows.
+    One pass: every order is exploded to its causes and a NULL entry that stands for the order itself, and
+    counted by name, so the second aggregate sees a handful of rows.
     """
-    counts = cause_counts(fact)
-    rows = fact.agg(F.count(F.lit(1)).alias("value")).select(
-        F.lit("fact_order_analysis_rows").alias("metric"), "value"
+    entry = F.explode_outer(F.concat(F.coalesce("causes", F.array().cast("array<string>")), F.array(F.lit(None).cast("string"))))
+    counts = fact.select(entry.alias("cause")).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("bigint")
+    stats = counts.agg(
+        F.coalesce(F.sum(F.when(F.col("cause").isNull(), F.col("n"))), none).alias("fact_order_analysis_rows"),
+        F.coalesce(F.sum(F.when(F.col("cause").isNotNull(), F.col("n"))), none).alias("fact_order_causes_rows"),
+        F.count("cause").alias("unique_causes"),
     )
-    cause_stats = counts.agg(
-        F.coalesce(F.sum("cause_count"), F.lit(0)).alias("fact_order_causes_rows"),
-        F.count(F.lit(1)).alias("unique_causes"),
-    ).unpivot([], ["fact_order_causes_rows", "unique_causes"], "metric", "value")
-    return rows.unionByName(cause_stats)
+    return stats.unpivot([], ["fact_order_analysis_rows", "fact_order_causes_rows", "unique_causes"], "metric", "value")
