@@ -667,6 +667,6 @@ def oracles() -> dict[str, str]:
         select order_id, date_trunc('day', order_date) order_date, date_trunc('minute', promised_delivery_date) promised_delivery_date
         from raw_orders""")
     for name, columns in WIDE_COUNTS.items():
-        texts = ", ".join(f"cast({c} as varchar) {c}" for c in columns)
+        texts = ", ".join(f"cast({c} as varchar) as {c}" for c in columns)
         out[name] = f"select * replace ({texts}) from ({out[name]})"
     return out

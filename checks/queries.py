@@ -510,7 +510,7 @@ def dq_invalid_dates(spark: SparkSession, folder: str) -> DataFrame:
 def dq_orphan_keys(spark: SparkSession, folder: str) -> DataFrame:
     """References checked against an order table in which every fifth order has another id."""
     tables = load_tables(spark, folder)
-    renamed = F.when(F.col("order_id") % 5 == 0, -F.col("order_id")).otherwise(F.col("order_id"))
+    renamed = F.when(F.col("order_id") % 5 == 0, -F.col("order_id") - 1).otherwise(F.col("order_id"))
     return quality.orphan_keys(tables | {"raw_orders": tables["raw_orders"].withColumn("order_id", renamed)})
 
 
