@@ -69,6 +69,16 @@ def _header(fact: Fact, template: str, scope: Column) -> DataFrame:
     )
 
 
+def _blank(fact: Fact) -> dict[str, Callable[[], DataFrame]]:
+    """Frames without rows, in the usual columns, for the parts that a template does not have."""
+    return {
+        "kpis": lambda: kpis(_read(fact, *KPI_COLUMNS), F.lit(False)).limit(0),
+        "causes": lambda: top_causes(_read(fact, "causes"), F.lit(False)),
+        "samples": lambda: samples(_read(fact, *SAMPLE_COLUMNS), F.lit(False)),
+        "recommendations": lambda: recommendations(top_causes(_read(fact, "causes"), F.lit(False))),
+    }
+
+
 def _text(*parts: str | Column) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -144,12 +154,13 @@ def compare_cities(fact: Fact, city: str, city_b: str) -> Answer:
         lines = spark.createDataFrame(list(enumerate(COMPARE_RECOMMENDATIONS)), "position int, recommendation string")
         return lines.orderBy("position").select("recommendation")
 
-    return Answer(
-        header=lambda: _header(fact, "city_vs_city_last_month", text),
-        kpis=order_counts,
-        compare=compare,
-        recommendations=advice,
-    )
+    parts = {
+        "header": lambda: _header(fact, "city_vs_city_last_month", text),
+        "kpis": order_counts,
+        "compare": compare,
+        "recommendations": advice,
+    }
+    return Answer(**(_blank(fact) | parts))
 
 
 def festival_risks(fact: Fact, month: str = FESTIVAL_MONTH) -> Answer:
@@ -169,12 +180,13 @@ def onboarding_risk(fact: Fact, volume: int = ONBOARDING_VOLUME) -> Answer:
     def causes() -> DataFrame:
         return top_causes(_read(fact, "causes"), scopes.everything(), 5)
 
-    return Answer(
-        header=lambda: _header(fact, "client_onboarding_risk", text),
-        kpis=network,
-        causes=causes,
-        recommendations=lambda: recommendations(causes()),
-    )
+    parts = {
+        "header": lambda: _header(fact, "client_onboarding_risk", text),
+        "kpis": network,
+        "causes": causes,
+        "recommendations": lambda: recommendations(causes()),
+    }
+    return Answer(**(_blank(fact) | parts))
 
 
 def run_template(
@@ -189,7 +201,11 @@ def run_template(
     month: str | None = None,
     volume: int = ONBOARDING_VOLUME,
 ) -> Answer:
-    """The answer to a template as named frames; an unknown template has a header only."""
+    """The answer to a template as named frames: header, kpis, causes, samples and recommendations for each.
+
+    A part that a template does not have is a frame without rows; of an unknown template that is all but the
+    header.
+    """
     if template == "city_delayed_date_range":
         return city_delays(fact, city, start, end)
     if template == "client_failures_past_week":
@@ -202,7 +218,7 @@ def run_template(
         return festival_risks(fact, month or FESTIVAL_MONTH)
     if template == "client_onboarding_risk":
         return onboarding_risk(fact, volume)
-    return Answer(header=lambda: _header(fact, template, F.lit("")))
+    return Answer(**(_blank(fact) | {"header": lambda: _header(fact, template, F.lit(""))}))
 
 
 def explore(

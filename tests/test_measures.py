@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shipcause.functions.dates import last_day_seen, ordered_days, past_week, previous_month
 from shipcause.operators import measures, scopes
-from shipcause.operators.causes import explode_causes
+from shipcause.operators.causes import explode_causes, infer_causes
 from shipcause.operators.fact import build_fact, fact_with_causes
 from shipcause.operators.insights import insights, insights_by, onboarding, projected_late
 from shipcause.plans.questions import route_questions
@@ -195,7 +195,8 @@ def test_festival_and_onboarding_templates(fact):
 def test_unknown_template(fact):
     answer = run_template(fact, "weather forecast")
     assert tuple(answer["header"].first()) == ("Analysis", "", "")
-    assert list(answer) == ["header"]
+    assert set(answer) == {"header", "kpis", "causes", "samples", "recommendations"}
+    assert all(answer[part].count() == 0 for part in ("kpis", "causes", "samples", "recommendations"))
 
 
 def test_templates_from_tables_make_only_the_joins_they_need(small):
@@ -270,3 +271,17 @@ def test_projection(spark, fact):
     assert row.projected_delayed_orders == 10000
     assert "Baseline late rate: 50.0% | projected delayed orders per month: ~10000" in row.narrative
     assert row.narrative.endswith("contactability checks on day 1.")
+
+
+def test_constant_texts_of_the_templates(spark):
+    """Titles, scopes and fixed advice come from no table, so they are tested here and not registered."""
+    from shipcause.fixed import COMPARE_RECOMMENDATIONS, TITLES
+
+    fact = infer_causes(build_fact(tables(spark, raw_orders=[{"order_id": 1, "order_date": "2025-08-10 00:00:00"}]), "model"))
+    scope = lambda template, **a: run_template(fact, template, **a)["header"].first()
+    assert scope("city_delayed_date_range", city="Pune", start="2025-08-01", end="2025-08-31").scope == "City=Pune, Date Range=2025-08-01 to 2025-08-31"
+    assert scope("warehouse_august_reasons", warehouse="W", month="2025-08").scope == "Warehouse=W, Month=2025-08"
+    assert scope("festival_period_risks", month="2025-10").scope == "Festival window assumed as October 2025"
+    assert scope("client_onboarding_risk").title == TITLES["client_onboarding_risk"]
+    compare = run_template(fact, "city_vs_city_last_month", city="A", city_b="B")
+    assert [r.recommendation for r in compare["recommendations"].collect()] == COMPARE_RECOMMENDATIONS
