@@ -1,5 +1,9 @@
 """The pipeline, stage by stage, and the registered queries with SQL."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
@@ -46,3 +50,10 @@ def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 20
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_entry_needs_no_session():
+    """The entry points can be imported before any Spark session exists."""
+    code = "import __spark_entry__ as e; assert 'pipeline' in e.queries() and 'op8_minhash_join' in e.oracle_sql()"
+    top = Path(corpus_pipeline.__file__).parent
+    subprocess.run([sys.executable, "-c", code], cwd=top, check=True, timeout=120)
