@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipcause.llm.common import ship_package, table
+from shipcause.llm.common import kept, ship_package, table
 from shipcause.sources.store import new_folder
 
 #: Fixed values of the formats.
@@ -36,6 +36,8 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Equal payloads shorter than this are stored each time.
 REVISIT_BYTES = 100
 RECORDS_PER_BATCH = 256
+#: Up to so many revisits (100 bytes each) are broadcast; beyond, records are joined to them by shuffling.
+BROADCAST_REVISITS = 200_000
 
 CRLF = "\r\n"
 
@@ -187,7 +189,9 @@ def convert(spark: SparkSession, arc: str, warc: str) -> str:
         .filter("page_id > refers_to")
         .groupBy("page_id", "payload_digest").agg(F.min("refers_to").alias("refers_to"))
     )
-    records = read_arc(spark, arc).join(revisits, ["page_id", "payload_digest"], "left")
+    revisits = kept(revisits, "revisits")
+    few = revisits.count() <= BROADCAST_REVISITS  # then payloads stay where they are read
+    records = read_arc(spark, arc).join(F.broadcast(revisits) if few else revisits, ["page_id", "payload_digest"], "left")
     field = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
     again = F.col("refers_to").isNotNull()
     digest = F.col("payload_digest")

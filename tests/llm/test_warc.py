@@ -4,6 +4,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from shipcause.llm import warc as warc_module
 from shipcause.llm.warc import archive_pages, arc_records, convert, http_parts, iso_date, read_arc, warc_records, write_arc
 from shipcause.sources.store import new_folder
 
@@ -33,7 +34,9 @@ def test_cut_and_broken_files():
     assert http_parts(b"no head") == (b"", {}, b"no head")
 
 
-def test_round_trip_of_odd_pages(spark):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_round_trip_of_odd_pages(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc_module, "BROADCAST_REVISITS", broadcast)
     long = "<p>" + "x\r\n\r\nWARC/1.1\r\n" * 3000
     rows = [
         (3, "http://a/", long), (1, "http://b/ c", long), (2, None, long), (4, "", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"),
