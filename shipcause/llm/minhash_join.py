@@ -32,17 +32,20 @@ from shipcause.llm.components import connected_components
 
 #: Posted coordinates; coordinates that are counted, seven to a number, one byte each.
 POSTED, COUNTED, PER_WORD = 49, 147, 7
+#: Coordinates that are counted besides in the last round, only for the classes left by then.
+FINE = 588
 WORDS = [f"s{i}" for i in range(COUNTED // PER_WORD)]
+FINE_WORDS = [f"f{i}" for i in range(FINE // PER_WORD)]
 MISS = 1e-6
 HUB_ROUNDS = 3
 #: Id lists up to this length (8 bytes each) are broadcast; longer ones are joined by shuffling.
 BROADCAST_IDS = 1_000_000
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
 ROWS_PER_BATCH = 500
 
 _random = np.random.default_rng(20240229)
-MULTIPLY = _random.integers(1, 2**63, COUNTED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _random.integers(0, 2**63, COUNTED, dtype=np.uint64)
+MULTIPLY = _random.integers(1, 2**63, COUNTED + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADD = _random.integers(0, 2**63, COUNTED + FINE, dtype=np.uint64)
 SHINGLE = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -74,14 +77,21 @@ def shingle_hashes(text: str, width: int, words: WordHashes) -> np.ndarray:
     return np.unique(h)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, which: slice = slice(COUNTED)) -> np.ndarray:
     """The smallest value of every coordinate's own hash function, as unsigned 32-bit numbers."""
-    low = np.full(COUNTED, np.iinfo(np.uint64).max, np.uint64)
+    multiply, add_ = MULTIPLY[which], ADD[which]
+    low = np.full(len(add_), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
-        np.minimum(low, (hashes[at : at + 4096, None] * MULTIPLY + ADD).min(axis=0), out=low)
+        np.minimum(low, (hashes[at : at + 4096, None] * multiply + add_).min(axis=0), out=low)
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def packed(low: np.ndarray) -> list[int]:
+    """The last byte of each minimum, seven to a number."""
+    place = np.uint64(1) << (np.arange(PER_WORD, dtype=np.uint64) * np.uint64(8))
+    return ((low & np.uint32(255)).astype(np.uint64).reshape(-1, PER_WORD) * place).sum(axis=1).astype(np.int64).tolist()
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``key`` (equal for equal sets), ``posted`` values, and the counted bytes."""
     ship_package(docs.sparkSession)
@@ -91,15 +101,13 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         words = WordHashes()
-        place = np.uint64(1) << (np.arange(PER_WORD, dtype=np.uint64) * np.uint64(8))
         for batch in batches:
             for at in range(0, len(batch), ROWS_PER_BATCH):
                 rows = []
                 for doc_id, known, text in batch.iloc[at : at + ROWS_PER_BATCH].itertuples(index=False):
                     hashes = shingle_hashes(text, width, words)
                     low = minima(hashes)
-                    packed = ((low & np.uint32(255)).astype(np.uint64).reshape(-1, PER_WORD) * place).sum(axis=1)
-                    rows.append((doc_id, known, len(hashes), xxh3_128_digest(hashes.tobytes()), low[:POSTED].astype(np.int64), *packed.astype(np.int64).tolist()))
+                    rows.append((doc_id, known, len(hashes), xxh3_128_digest(hashes.tobytes()), low[:POSTED].astype(np.int64), *packed(low)))
                 yield pd.DataFrame(rows, columns=names)
 
     schema = "doc_id bigint, known boolean, n_shingles bigint, key binary, posted array<bigint>, " + ", ".join(f"{w} bigint" for w in WORDS)
@@ -121,6 +129,17 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(sets, "cid bigint, shingles array<bigint>")
 
 
+def fine_bytes(sets: DataFrame) -> DataFrame:
+    """``cid`` and the further counted bytes of ``sets``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(c, *packed(minima(np.asarray(s, np.int64).view(np.uint64), slice(COUNTED, None)))) for c, s in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["cid", *FINE_WORDS])
+
+    return sets.select("cid", "shingles").mapInPandas(run, "cid bigint, " + ", ".join(f"{w} bigint" for w in FINE_WORDS))
+
+
 def threshold(coordinates: int, percent: int, miss: float = MISS) -> int:
     """The most matches that two sets at exactly ``percent`` similarity reach but for odds of ``miss``."""
     s, below, t = percent / 100, 0.0, 0
@@ -129,15 +148,15 @@ def threshold(coordinates: int, percent: int, miss: float = MISS) -> int:
     return t
 
 
-def collisions(a: str, b: str) -> Column:
-    """In how many counted coordinates the rows ``a`` and ``b`` agree: zero bytes of the exclusive or."""
+def collisions(a: str, b: str, words: list[str]) -> Column:
+    """In how many coordinates the rows ``a`` and ``b`` agree: zero bytes of the exclusive or."""
     low7, high = F.lit(0x007F7F7F7F7F7F7F), F.lit(0x0080808080808080)
 
     def differing(w: str) -> Column:
         x = F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))
         return F.bit_count((x.bitwiseAND(low7) + low7).bitwiseOR(x).bitwiseAND(high))
 
-    return F.lit(COUNTED) - reduce(add, [differing(w) for w in WORDS])
+    return F.lit(len(words) * PER_WORD) - reduce(add, [differing(w) for w in words])
 
 
 def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -153,6 +172,7 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent = docs, width, percent
         self.least, self.least_posted = threshold(COUNTED, percent), threshold(POSTED, percent)
+        self.least_of_all = threshold(COUNTED + FINE, percent)
         self.profiles = kept(profiles(docs, width), "profiles")
         usable = self.profiles.filter("n_shingles > 0 and doc_id is not null")
         self.classes = kept(usable.groupBy("key").agg(F.min("doc_id").alias("cid")), "classes")
@@ -198,7 +218,7 @@ class NearDuplicates:
     def alike(self, a: str, b: str) -> Column:
         """Whether sizes allow the similarity and enough coordinates agree."""
         few, many = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-        return (100 * few >= self.percent * many) & (collisions(a, b) >= self.least)
+        return (100 * few >= self.percent * many) & (collisions(a, b, WORDS) >= self.least)
 
     def merge(self, links: DataFrame) -> None:
         """Join the components that ``links`` connect."""
@@ -231,16 +251,19 @@ class NearDuplicates:
             F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
         ).filter("parts > 1").select("token", "main")
         tokens = self.postings.groupBy("cid").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+        left = located.join(main.hint("merge"), "token")
+        fine = fine_bytes(only(self.sets, "cid", kept(left.select("cid").distinct(), "left")))
         rows = kept(
-            located.join(main.hint("merge"), "token").join(self.counted.hint("merge"), "cid").join(tokens.hint("merge"), "cid"), "rest"
+            left.join(self.counted.hint("merge"), "cid").join(fine.hint("merge"), "cid").join(tokens.hint("merge"), "cid"), "rest"
         )
         x, y = rows.filter("component <> main").alias("x"), rows.alias("y")
         # two outside the largest component meet once, and each pair only under the first token they share
         once = (F.col("y.component") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))
+        close = collisions("x", "y", WORDS + FINE_WORDS) >= self.least_of_all
         first = F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")
         met = x.join(
             y.hint("merge"),
-            (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & self.alike("x", "y") & first,
+            (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & self.alike("x", "y") & close & first,
         )
         self.merge(self.confirmed(met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))))
 
