@@ -3,7 +3,8 @@
 A page is cut into tags and text, built into a tree with the tags that HTML implies (a paragraph ends where a
 block starts, a cell where the next one starts, and so on), and written out: blocks on lines of their own,
 margins as blank lines, list items with bullets or numbers, table cells in aligned columns, white space
-collapsed except in preformatted text. Elements that a browser does not show are left out.
+collapsed except in preformatted text. Elements that a browser does not show are left out; what a hidden
+element shows again (``visibility``) is there, as are form texts, formulas and the texts of drawings.
 """
 
 from __future__ import annotations
@@ -24,8 +25,23 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
 UNSEEN = {
     "head", "script", "style", "title", "template", "noscript", "iframe", "noembed", "noframes", "object", "audio", "video",
-    "canvas", "datalist", "svg", "math", "select", "textarea",
+    "canvas", "datalist",
 }
+#: Not shown inside drawings and formulas; elsewhere these names mean nothing.
+UNSEEN_IN = {
+    "svg": {
+        "clippath", "defs", "desc", "filter", "lineargradient", "marker", "mask", "metadata", "pattern", "radialgradient", "symbol",
+    },
+    "math": {"annotation", "annotation-xml", "mphantom"},
+}
+#: Elements of drawings and formulas that hold HTML, HTML tags that end both, and formula parts that do not stand in line.
+HOLDS_HTML = {"svg": {"desc", "foreignobject", "title"}, "math": {"mi", "mn", "mo", "ms", "mtext"}}
+ENDS_FOREIGN = {
+    "b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5",
+    "h6", "head", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strong",
+    "strike", "sub", "sup", "table", "tt", "u", "ul", "var",
+}
+APART = {"mfrac", "mmultiscripts", "mover", "mroot", "msub", "msubsup", "msup", "mtable", "mtr", "munder", "munderover"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li",
@@ -51,19 +67,36 @@ ENDS_PARAGRAPH = BLOCKS - {"body", "html", "option", "optgroup", "legend", "capt
 HEAD_ONLY = {"base", "link", "meta", "title", "style", "script", "noscript", "template", "head", "html", "bgsound"}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?P<slash>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<slash>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+DECLARATION = re.compile(
+    r"(?:[^;\"'(]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\((?:[^)\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+(?:\)|\Z))++"
+)
+IMPORTANT = re.compile(r"\s*!\s*important$")
+#: Properties that hide, and the values a browser knows; it passes over declarations with others.
+GLOBAL = {"inherit", "initial", "unset", "revert", "revert-layer"}
+HIDES = {
+    "display": re.compile(
+        r"none|contents|(?:inline-)?(?:block|flex|grid|table)|table-[a-z-]+|ruby(?:-[a-z-]+)?|math|run-in|-(?:webkit|moz|ms)-[a-z-]+"
+        r"|(?:(?:block|inline|flow|flow-root|flex|grid|table|ruby|list-item)(?:\s+|$))+|" + "|".join(GLOBAL)
+    ),
+    "visibility": re.compile("visible|hidden|collapse|" + "|".join(GLOBAL)),
+    "content-visibility": re.compile("visible|hidden|auto|" + "|".join(GLOBAL)),
+}
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "name")
+    """An element; ``inside`` and ``inner`` are "svg", "math" or "": what it stands in, and what its children do."""
+
+    __slots__ = ("attributes", "children", "inner", "inside", "name")
 
-    def __init__(self, name: str, attributes: dict[str, str]):
-        self.name, self.attributes, self.children = name, attributes, []
+    def __init__(self, name: str, attributes: dict[str, str], inside: str = ""):
+        self.name, self.attributes, self.children, self.inside = name, attributes, [], inside
+        self.inner = name if name in ("svg", "math") else "" if inside and name in HOLDS_HTML[inside] else inside
 
 
 def build_tree(html: str) -> Node:
@@ -73,7 +106,7 @@ def build_tree(html: str) -> Node:
     opened = Counter()  # open elements by name, so that nothing is looked for in vain
 
     def open_(name: str, attributes: dict[str, str]) -> None:
-        node = Node(name, attributes)
+        node = Node(name, attributes, stack[-1].inner)
         stack[-1].children.append(node)
         stack.append(node)
         opened[name] += 1
@@ -120,6 +153,10 @@ def build_tree(html: str) -> Node:
         text(unescape(html[at : token.start()]))
         at = token.end()
         if not (name := (token["name"] or "").lower()):
+            if stack[-1].inner and html.startswith("<![CDATA[", token.start()):
+                closing = html.find("]]>", token.start())
+                text(html[token.start() + 9 : closing if closing >= 0 else end])
+                at = closing + 3 if closing >= 0 else end
             continue
         if token["slash"]:
             if name == "br" or name == "p" and not opened["p"]:
@@ -128,6 +165,11 @@ def build_tree(html: str) -> Node:
             elif name not in ("html", "body"):
                 close_nearest(name)
             continue
+        if stack[-1].inner and name in ENDS_FOREIGN:
+            depth = len(stack)
+            while stack[depth - 1].inner:
+                depth -= 1
+            cut(depth)
         if name not in HEAD_ONLY and stack[-1].name == "head":
             cut(len(stack) - 1)
         if name == "html" or name == "body" and opened["body"]:
@@ -142,22 +184,51 @@ def build_tree(html: str) -> Node:
             m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(token["rest"])
         } if token["rest"].strip(" /\n\t\r") else {}
         open_(name, attributes)
-        if name in VOID or name in ("svg", "math", "path") and token["rest"].rstrip().endswith("/"):
+        foreign = stack[-1].inside or stack[-1].inner
+        if name in VOID or (foreign or name == "path") and token["rest"].rstrip().endswith("/"):
             cut(len(stack) - 1)
-        elif name in RAW:
+        elif name in RAW and not foreign:
             closing = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             inside = html[at : closing.start()] if closing else html[at:]
+            if name == "textarea":
+                inside = inside.removeprefix("\r").removeprefix("\n")  # a line end that HTML takes no notice of
             stack[-1].children.append(unescape(inside) if name in ("textarea", "title") else inside)
             at = closing.end() if closing else end
             cut(len(stack) - 1)
     return root
 
 
-def visible(node: Node) -> bool:
+def hiding(style: str) -> dict[str, str]:
+    """The values that a style gives to the properties that hide; the last one counts, important ones before others."""
+    found: dict[str, str] = {}
+    important: dict[str, str] = {}
+    if "display" in (style := CSS_COMMENT.sub(" ", style.lower())) or "visibility" in style:
+        for declaration in DECLARATION.findall(style):
+            name, _, value = declaration.partition(":")
+            if (known := HIDES.get(name.strip())) is None:
+                continue
+            plain = IMPORTANT.sub("", value := value.strip())
+            if known.fullmatch(plain):
+                (found if plain == value else important)[name.strip()] = plain
+    return found | important
+
+
+def visible(node: Node, shown: bool) -> tuple[bool, bool]:
+    """Whether ``node`` is there at all, and whether its own text shows where that of its parent does or does not."""
     a = node.attributes
-    if node.name in UNSEEN or "hidden" in a or node.name == "dialog" and "open" not in a:
-        return False
-    return not ("style" in a and HIDING.search(a["style"]))
+    if node.name in UNSEEN or node.inside and node.name in UNSEEN_IN[node.inside]:
+        return False, False
+    if "hidden" in a or node.name == "dialog" and "open" not in a:
+        return False, False
+    style = hiding(a["style"]) if "style" in a else {}
+    if node.inside == "svg" or node.name == "svg":
+        style = {k: v for k in ("display", "visibility") if HIDES[k].fullmatch(v := a.get(k, "").strip().lower())} | style
+    if style.get("display") == "none" or style.get("content-visibility") == "hidden":
+        return False, False
+    visibility = style.get("visibility", "inherit")
+    if visibility == "collapse" and node.name in ("tr", "thead", "tbody", "tfoot"):
+        return False, False
+    return True, visibility in ("visible", "initial") or visibility not in ("hidden", "collapse") and shown
 
 
 class Lines:
@@ -233,11 +304,14 @@ def render(root: Node) -> str:
     lists: list[list] = []
     tables: list[list[list[list[str]]]] = []
     pre = 0
-    todo: list[tuple[Node | str, bool]] = [(root, False)]
+    # shown: by visibility; drawn: in a drawing only what stands in its text elements
+    todo: list[tuple[Node | str, bool, bool, bool]] = [(root, False, True, True)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, shown, drawn = todo.pop()
         out = outs[-1]
         if isinstance(node, str):
+            if not (shown and drawn):
+                continue
             if pre:
                 out.literal(node)
             elif node:
@@ -245,21 +319,22 @@ def render(root: Node) -> str:
             continue
         name = node.name
         if not leaving:
-            if not visible(node):
+            there, shown = visible(node, shown)
+            if not there:
                 continue
             if name == "br":
-                out.forced_break()
+                out.forced_break() if shown else out.break_()
                 continue
             if name == "img":
-                if alt := node.attributes.get("alt", "").strip():
+                if shown and (alt := node.attributes.get("alt", "").strip()):
                     out.text(alt)
                 continue
             if name == "input":
-                if node.attributes.get("type", "").lower() in ("submit", "button", "reset") and (value := node.attributes.get("value")):
+                if shown and node.attributes.get("type", "").lower() in ("submit", "button", "reset") and (value := node.attributes.get("value")):
                     out.text(value)
                 continue
-            todo.append((node, True))
-            if name in BLOCKS:
+            todo.append((node, True, shown, drawn))
+            if name in BLOCKS or node.inside == "svg" and name in ("text", "foreignobject"):
                 out.break_(blank=name in MARGINS and not (name in LISTS and lists))
             if name in LISTS:
                 start = node.attributes.get("start", "1")
@@ -267,7 +342,7 @@ def render(root: Node) -> str:
                 out.indent += 2
             elif name == "li":
                 numbered = lists[-1] if lists else [False, 1]
-                out.mark = f"{numbered[1]}. " if numbered[0] else "- "
+                out.mark = (f"{numbered[1]}. " if numbered[0] else "- ") if shown else ""
                 numbered[1] += 1
                 out.indent += 2
             elif name == "dd":
@@ -276,6 +351,11 @@ def render(root: Node) -> str:
                 out.indent += 2
             elif name in ("pre", "xmp"):
                 pre += 1
+            elif name == "textarea":
+                if out.space and out.line:
+                    out.line.append(" ")
+                out.space = False
+                pre += 1
             elif name == "table":
                 tables.append([])
             elif name == "tr" and tables:
@@ -284,7 +364,20 @@ def render(root: Node) -> str:
                 outs.append(Lines())
             elif name in ("td", "th"):
                 out.space = True
-            todo.extend((child, False) for child in reversed(node.children))
+            children = node.children
+            if name in ("optgroup", "option") and (label := node.attributes.get("label", "").strip()):
+                if name == "option":
+                    children = [label]
+                elif shown:
+                    out.text(label)
+                    out.break_()
+            elif node.inside == "math" and name in APART:
+                children = [part for child in children for part in (child, " ")]
+            if node.inner == "svg":
+                drawn = name == "text" or drawn and name != "svg"
+            else:
+                drawn = True
+            todo.extend((child, False, shown, drawn) for child in reversed(children))
             continue
         if name in LISTS:
             lists.pop()
@@ -297,7 +390,7 @@ def render(root: Node) -> str:
             out.indent -= 4
         elif name == "blockquote":
             out.indent -= 2
-        elif name in ("pre", "xmp"):
+        elif name in ("pre", "xmp", "textarea"):
             pre -= 1
         elif name in ("td", "th") and len(outs) > 1:
             cell = outs.pop().result()
@@ -307,7 +400,7 @@ def render(root: Node) -> str:
             tables[-1][-1].extend([cell, *[[]] * (min(int(span), 1000) - 1 if span.isdigit() and int(span) else 0)])
         elif name == "table" and tables:
             out.whole(aligned(tables.pop()))
-        if name in BLOCKS:
+        if name in BLOCKS or node.inside == "svg" and name in ("text", "foreignobject"):
             out.break_(blank=name in MARGINS and not (name in LISTS and lists))
     return "\n".join(outs[0].result()).strip("\n")
 

@@ -35,6 +35,31 @@ def test_layout(html, text):
     assert page_text(html).strip("\n").splitlines() == text.splitlines() or page_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div style='backface-visibility:hidden; -webkit-backface-visibility: hidden'>card</div>", "card"),
+        ("<p style='--display:none'>a<p style='background:url(x;display:none)'>b<p style='/* display:none */'>c", "a\n\nb\n\nc"),
+        ("<p style='display:none; display:block'>a<p style='display:none !important; display:block'>no", "a"),
+        ("<p style='color:red;DISPLAY : None'>no<p style='content-visibility:hidden'>no<p>a", "a"),
+        ("<div style='visibility:hidden'>no<p>no<b style='visibility:visible'>yes</b></div>", "yes"),
+        ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>a</ul>", "  - a"),
+        ("<table><tr style='visibility:collapse'><td style='visibility:visible'>no<tr><td>a</table>", "a"),
+        ("a<!-->b", "ab"),
+        ("a<!--->b<!-- no -->c", "abc"),
+        ("Note: <textarea>\none &amp;\n  two</textarea> end", "Note: one &\n  two end"),
+        ("Pick <select><option>a<option selected>b<optgroup label=More><option>c</select> now", "Pick\na\nb\nMore\nc\nnow"),
+        ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds", "so x=1 2 holds"),
+        ("<math><semantics><mi>x</mi><annotation>no</annotation></semantics></math>", "x"),
+        ("<svg><title/><defs/><desc>no</desc>no<g><text>one <tspan>two</tspan></text><text><![CDATA[a<b]]></text></g></svg>", "one two\na<b"),
+        ("<svg><text visibility=hidden>no</text><text display=none>no</text><foreignObject><p>yes</p></foreignObject></svg>", "yes"),
+        ("<svg><title>no<path></svg>after<svg><g><p>out", "after\n\nout"),
+    ],
+)
+def test_what_browsers_show(html, text):
+    assert page_text(html) == text
+
+
 def test_depth_and_length_do_not_matter():
     assert page_text("<div>" * 20_000 + "x") == "x"
     assert page_text("<p>x" * 20_000).count("x") == 20_000
