@@ -1,7 +1,7 @@
 """Quality scores by a linear support vector machine over n-grams that are scaled by naive Bayes.
 
 Features are indicators of n-grams: words, and runs of one to three word shapes (what case, digits, marks and
-repetition a token has). Each is multiplied by its log-count ratio, how much likelier it is in good documents
+repetition a token has; a long shape counts as several in a row). Each is multiplied by its log-count ratio, how much likelier it is in good documents
 than in poor ones. A hinge-loss machine is fitted to these by dual coordinate descent: one document at a time,
 its dual variable is set to the best value between 0 and C. A logistic curve over its margin makes a score.
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,8 @@ from shipcause.llm.common import held_out, kept, labelled_sample, ship_package,
 #: Labelled documents to learn from, n-grams in the model, documents an n-gram must occur in.
 SAMPLE, VOCABULARY, LEAST = 8_000, 40_000, 4
 THRESHOLD = 0.3
-REMEMBERED = 200_000
+#: Symbols of a shape, tokens whose shapes are remembered, and their longest.
+PIECE, REMEMBERED, REMEMBERED_LENGTH = 12, 200_000, 100
 
 _LETTERS = [(re.compile(r"[^\W\d_]+"), lambda m: "X" if m[0].isupper() else "Xx" if m[0][0].isupper() else "x"), (re.compile(r"\d+"), "9")]
 _RUNS = re.compile(r"(\W)\1{2,}")
@@ -35,26 +37,31 @@ def shape(token: str) -> str:
     """``Shape!!!`` gives ``Xx!!``: letters by case, digits as 9, marks as they are, runs of one mark cut to two."""
     for pattern, by in _LETTERS:
         token = pattern.sub(by, token)
-    return _RUNS.sub(r"\1\1", token)[:12]
+    return _RUNS.sub(r"\1\1", token)
 
 
 class Shapes(dict):
     def __missing__(self, token: str) -> str:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[token] = shape(token)
+        value = shape(token)
+        if len(token) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            value = self[token] = sys.intern(value)  # few shapes for many tokens
         return value
 
 
 def ngrams(text: str, shapes: Shapes) -> set:
     """The distinct n-grams of a text: words as strings, shapes as tuples of one to three.
 
-    A token that repeats the one before has the shape '='.
+    A token that repeats the one before has the shape '='. A shape of more than ``PIECE`` symbols counts as its
+    successive pieces, so a text without white space is seen to its end.
     """
     tokens = text.split()
     found = [*map(shapes.__getitem__, tokens)]
     for i in [i for i, (a, b) in enumerate(zip(tokens, tokens[1:]), 1) if a == b]:  # noqa: B905
         found[i] = "="
+    if max(map(len, found), default=0) > PIECE:
+        found = [f[i : i + PIECE] for f in found for i in range(0, len(f), PIECE)]
     out: set = set(text.lower().split())
     out.update(zip(found), zip(found, found[1:]), zip(found, found[1:], found[2:]))  # noqa: B905
     return out

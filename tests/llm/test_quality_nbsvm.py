@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from shipcause.llm.common import labelled_sample
-from shipcause.llm.quality_nbsvm import Shapes, drop_poor, fit, fit_curve, fit_hinge, fitted, ngrams, op4_nbsvm_quality, quality_scores, shape
+from shipcause.llm.quality_nbsvm import Model, Shapes, drop_poor, fit, fit_curve, fit_hinge, fitted, ngrams, op4_nbsvm_quality, quality_scores, shape
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -16,6 +16,15 @@ def test_shapes_and_ngrams():
     assert ngrams("", Shapes()) == set()
 
 
+def test_long_tokens_count_to_their_end():
+    model = Model({("{x:9}{x:9}{x",): 1.0, ("#9#9",): -5.0}, 0.0, 1.0, 0.0)
+    start = "{ab:12}{cd:3}{ef"
+    assert model.margin(ngrams(start, Shapes())) == 1
+    assert model.margin(ngrams(start + "-1-x-1-x-1-x" * 500 + "#1#2", Shapes())) == -4
+    assert ("a,", "x") not in ngrams("日本、" * 9, Shapes()) and ("x、x、x、x、x、x、", "x、x、x、") in ngrams("日本、" * 9, Shapes())
+    assert shape("a-" * 20) == "x-" * 20
+
+
 def test_hinge_fit_is_optimal():
     random = np.random.default_rng(0)
     dense = random.normal(size=(60, 6)) > 0.3
