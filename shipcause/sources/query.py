@@ -39,12 +39,15 @@ def run_select(spark: SparkSession, sql: str) -> SelectResult:
         return SelectResult(error=f"Query failed: {e}")
 
 
-def fetch_select(spark: SparkSession, sql: str, limit: int = 1000) -> tuple[list[Row], str | None]:
-    """The first ``limit`` rows of an ad-hoc text, and the error, also one that shows only when it runs."""
+def fetch_select(spark: SparkSession, sql: str, limit: int | None = None) -> tuple[list[Row], str | None]:
+    """All rows of an ad-hoc text, and the error, also one that shows only when it runs.
+
+    They come to the driver; a caller who wants the first ``limit`` rows only says so.
+    """
     result = run_select(spark, sql)
     if result.rows is None:
         return [], result.error
     try:
-        return result.rows.limit(limit).collect(), None
+        return (result.rows if limit is None else result.rows.limit(limit)).collect(), None
     except PySparkException as e:
         return [], f"Query failed: {e}"

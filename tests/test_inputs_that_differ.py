@@ -44,6 +44,12 @@ def test_ad_hoc_queries_stay_within_the_tables(spark):
     assert rows[0].reflected == 1 and error is None
 
 
+def test_ad_hoc_queries_return_all_rows(spark):
+    rows, error = fetch_select(spark, "select id from range(1500) order by id")
+    assert [r.id for r in rows] == list(range(1500)) and error is None
+    assert len(fetch_select(spark, "select id from range(1500)", limit=7)[0]) == 7
+
+
 def test_files_in_subfolders_are_not_the_sources(spark, tmp_path):
     (tmp_path / "old").mkdir()
     (tmp_path / "old" / "orders.csv").write_text("order_id\n1\n")
