@@ -15,6 +15,7 @@ from checks.queries import (
     EMPTY_MONTH,
     END,
     FESTIVAL_MONTH,
+    HARD_TEXT,
     START,
     WAREHOUSE,
     WAREHOUSE_MONTH,
@@ -23,6 +24,7 @@ from checks.queries import (
 from shipcause.fixed import (
     DASHBOARD_ACTIONS,
     DASHBOARD_DEFAULT_ACTION,
+    DATE_COLUMNS,
     EXPLANATIONS,
     MODEL_ACTIONS,
     NA_TOKENS,
@@ -30,11 +32,12 @@ from shipcause.fixed import (
     ONBOARDING_PLAYBOOK,
     ONBOARDING_RISKS_TEXT,
     ROUTE_REASONS,
+    TABLE_FILES,
     FALLBACK_REASON,
     TITLES,
     UNKNOWN_ACTION,
 )
-from shipcause.schemas import FACT_COLUMNS
+from shipcause.schemas import FACT_COLUMNS, TABLE_KEYS, TABLE_SCHEMAS
 from shipcause.testdata import DUCKDB, table_texts
 
 
@@ -222,6 +225,13 @@ PARTS = {
 }
 
 
+def found(table: str, column: str) -> str:
+    """The type of a column after a CSV load."""
+    if column in DATE_COLUMNS[table]:
+        return "timestamp_ntz"
+    return "bigint" if column in ("order_id", "client_id", "warehouse_id", "driver_id") else "string"
+
+
 def needed(sql: str) -> dict[str, str]:
     """The parts that a text uses, directly or through other parts, in order."""
     import re
@@ -666,6 +676,35 @@ def oracles() -> dict[str, str]:
     out["csv_compact_dates"] = oracle("""
         select order_id, date_trunc('day', order_date) order_date, date_trunc('minute', promised_delivery_date) promised_delivery_date
         from raw_orders""")
+    out["csv_line_breaks"] = oracle(f"select load_seq event_id, {HARD_TEXT} feedback_text, order_id from raw_feedback")
+    out["csv_rejects"] = oracle("""
+        select order_id, case order_id % 50 when 3 then 'surplus cells' when 4 then 'missing cells' else 'loaded' end reason,
+            case order_id % 50 when 3 then 5 when 4 then 2 else 3 end cells
+        from raw_orders""")
+    text_id = "case order_id % 100 when 7 then concat('ORD-', order_id) when 8 then concat('00', order_id) else cast(order_id as varchar) end"
+    out["csv_text_ids"] = oracle(f"""
+        select {text_id} order_id, client_id, 'string' order_id_type, 'bigint' client_id_type, n_feedback
+        from raw_orders left join (select order_id, count(*) n_feedback from raw_feedback group by order_id) using (order_id)""")
+    out["csv_first_values"] = out["first_non_null_log"]
+    out["csv_dated_tables"] = oracle(" union all ".join(
+        f"select '{t}' table_name, {TABLE_KEYS[t]} as key, '{c}' column_name, strftime({c}, '%Y-%m-%d %H:%M:%S') as value from {t}"
+        for t, columns in DATE_COLUMNS.items() for c in columns
+    ))
+    # a CSV cell that is empty or says 'n/a' has no value
+    loaded = out["fact_order"].replace("coalesce(try_cast(rating as double), 0.0)", "try_cast(rating as double)")
+    out["refresh_roundtrip"] = f"select * replace (nullif(event_type, '') as event_type) from ({loaded})"
+    out["source_presence"] = "select * from (values " + ", ".join(
+        f"('{t}', '{f}', {'false' if t == 'dim_clients' else 'true'})" for t, f in TABLE_FILES.items()
+    ) + ") s(table_name, file_name, present)"
+    out["dq_schema"] = oracle("select t.* replace (case when column_name = 'amount' then (select count(*) from raw_orders where order_id % 20 = 3) else rejected end as rejected) from (values " + ", ".join(
+        f"('{t}', '{c}', '{declared}', {text(found(t, c))}, cast(0 as bigint))" for t, spec in TABLE_SCHEMAS.items() for c, declared in spec.items()
+    ) + ") t(table_name, column_name, declared, found, rejected)")
+    out["date_windows"] = oracle("""
+        select order_id, strftime(least(promised_delivery_date, coalesce(actual_delivery_date, current_date)), '%Y-%m-%d') first_day,
+            case when actual_delivery_date is null then 'today'
+                else strftime(greatest(promised_delivery_date, actual_delivery_date), '%Y-%m-%d') end last_day,
+            actual_delivery_date is not null complete
+        from raw_orders""")
     for name, columns in WIDE_COUNTS.items():
         texts = ", ".join(f"cast({c} as varchar) as {c}" for c in columns)
         out[name] = f"select * replace ({texts}) from ({out[name]})"

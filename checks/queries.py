@@ -8,15 +8,18 @@ be compared value by value with those of another engine.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shipcause import testdata
+from shipcause.fixed import DATE_COLUMNS, TABLE_FILES
 from shipcause.functions.dates import (
     day_text,
     normalize_dates,
+    ordered_days,
     second_text,
+    strict_timestamp,
 )
 from shipcause.functions.values import labels_where, normalize_missing
 from shipcause.operators import measures, quality, scopes
@@ -39,12 +42,13 @@ from shipcause.operators.feedback import feedback_summary_cli, feedback_summary_
 from shipcause.operators.firsts import first_row_per_key, first_value_per_key, worst_factor
 from shipcause.operators.insights import insights_by, insights_grouping_sets, onboarding
 from shipcause.plans import scenarios, templates
-from shipcause.plans.model import Model, save_model
+from shipcause.plans.model import Model, open_model, refresh, save_model
 from shipcause.plans.questions import route_questions
-from shipcause.schemas import FACT_COLUMNS, SEQ
+from shipcause.schemas import FACT_COLUMNS, SEQ, TABLE_KEYS
+from shipcause.sources.presence import source_report
 from shipcause.sources.query import run_query, run_select
 from shipcause.sources.store import new_folder, write_csv, write_table
-from shipcause.sources.tables import load_csv_tables, normalize, read_csv, row_counts
+from shipcause.sources.tables import load_csv, load_csv_folder, load_csv_tables, normalize, read_csv, row_counts
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,15 +116,127 @@ def insight_text(df: DataFrame) -> DataFrame:
 
 def load_row_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The tables written as CSV files and loaded back from them."""
-    out = new_folder(spark, "csv")
-    names = {
-        "raw_orders": "orders", "raw_fleet_logs": "fleet_logs", "raw_warehouse_logs": "warehouse_logs",
-        "raw_external_factors": "external_factors", "raw_feedback": "feedback", "dim_warehouses": "warehouses",
-        "dim_clients": "clients", "dim_drivers": "drivers",
+    return row_counts(load_csv_tables(spark, csv_folder(load_tables(spark, folder), new_folder(spark, "csv"))))
+
+
+def csv_folder(tables: dict[str, DataFrame], out: str) -> str:
+    """Tables written to ``out`` under their usual file names, logs in the order of their rows."""
+    for table, df in tables.items():
+        df = df.orderBy(SEQ).drop(SEQ) if SEQ in df.columns else df
+        write_csv(df, f"{out}/{TABLE_FILES[table]}")
+    return out
+
+
+def write_lines(lines: DataFrame, header: str, out: str, parts: int = 8) -> str:
+    """A CSV of ``parts`` files written as text: ``lines`` has number and line, in which anything may stand."""
+    spark = lines.sparkSession
+    heads = spark.range(parts).select(F.col("id").alias("part"), F.lit(None).cast("bigint").alias("number"), F.lit(header).alias("line"))
+    rows = heads.unionByName(lines.select(F.pmod(F.xxhash64("number"), F.lit(parts)).alias("part"), "number", "line"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "number")  # headers first
+    rows.select("part", "line").write.partitionBy("part").text(out)
+    return f"{out}/part=*"
+
+
+#: Texts of feedback with all that makes CSV hard; the same in both dialects.
+HARD_TEXT = """case load_seq % 5 when 0 then feedback_text || chr(10) || chr(10) || 'second line, "quoted"' || chr(10)
+    when 1 then '5" box: ' || feedback_text when 2 then '"' || feedback_text || '","' else feedback_text end"""
+
+
+def csv_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Feedback as CSV with line breaks and quotes in cells, some quotes inside cells that are not quoted."""
+    feedback = load_tables(spark, folder)["raw_feedback"].withColumn("feedback_text", F.expr(HARD_TEXT))
+    quoted = F.concat(F.lit('"'), F.replace("feedback_text", F.lit('"'), F.lit('""')), F.lit('"'))
+    cell = F.when(F.col(SEQ) % 5 == 1, F.col("feedback_text")).otherwise(quoted)
+    line = F.concat_ws(",", F.col(SEQ).cast("string"), F.coalesce(cell, F.lit("")), F.col("order_id").cast("string"))
+    path = write_lines(feedback.select(F.col(SEQ).alias("number"), line.alias("line")), "event_id,feedback_text,order_id", new_folder(spark, "csv"))
+    rows = read_csv(spark, path)
+    return rows.select(F.col("event_id").cast("bigint").alias("event_id"), "feedback_text", F.col("order_id").cast("bigint").alias("order_id"))
+
+
+def csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as CSV, some records with a cell too many or too few: which were loaded, and why the others were not."""
+    orders = load_tables(spark, folder)["raw_orders"]
+    cells = [F.col("order_id").cast("string"), F.col("city"), F.col("status")]
+    line = (
+        F.when(F.col("order_id") % 50 == 3, F.concat_ws(",", *cells, F.lit('"x, y"'), F.lit("")))
+        .when(F.col("order_id") % 50 == 4, F.concat_ws(",", *cells[:2]))
+        .otherwise(F.concat_ws(",", *cells))
+    )
+    path = write_lines(orders.select(F.col("order_id").alias("number"), line.alias("line")), "order_id,city,status", new_folder(spark, "csv"))
+    found = load_csv(spark, path, short_rows="reject")
+    loaded = found.rows.select("order_id", F.lit("loaded").alias("reason"), F.lit(3).alias("cells"))
+    rejected = found.rejects.select(F.split("record", ",")[0].alias("order_id"), "reason", "cells")
+    return loaded.unionByName(rejected).withColumn("order_id", F.col("order_id").cast("bigint"))
+
+
+def csv_text_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and feedback as CSV, some order ids texts: these stay as they are in both tables, and join."""
+    tables = {t: load_tables(spark, folder)[t] for t in ("raw_orders", "raw_feedback")}
+    number = F.col("order_id").cast("string")
+    some_texts = F.when(F.col("order_id") % 100 == 7, F.concat(F.lit("ORD-"), number)).when(F.col("order_id") % 100 == 8, F.concat(F.lit("00"), number))
+    out = csv_folder({t: df.withColumn("order_id", F.coalesce(some_texts, number)) for t, df in tables.items()}, new_folder(spark, "csv"))
+    loaded = load_csv_folder(spark, out, files={t: TABLE_FILES[t] for t in tables}).tables
+    feedback = loaded["raw_feedback"].groupBy("order_id").agg(F.count(F.lit(1)).alias("n_feedback"))
+    orders = loaded["raw_orders"].select("order_id", "client_id", F.typeof("order_id").alias("order_id_type"), F.typeof("client_id").alias("client_id_type"))
+    return orders.join(feedback, "order_id", "left")
+
+
+def csv_first_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The first values of a log that was loaded from CSV, where the order of rows is their position."""
+    logs = {t: df for t, df in load_tables(spark, folder).items() if t == "raw_warehouse_logs"}
+    out = csv_folder(logs, new_folder(spark, "csv"))
+    loaded = load_csv_folder(spark, out, files={t: TABLE_FILES[t] for t in logs}).tables["raw_warehouse_logs"]
+    return first_value_per_key(loaded, "order_id", SEQ, ["warehouse_id", "picking_end", "notes"])
+
+
+def csv_dated_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables as CSV with days as one number and instants in a regional form: every date that comes back."""
+    tables, forms = load_tables(spark, folder), ("yyyyMMddHHmmss", "MM/dd/yyyy HH:mm:ss")
+    written = {
+        t: df.withColumns({c: F.date_format(c, forms[i % 2]) for i, c in enumerate(DATE_COLUMNS[t])}) for t, df in tables.items()
     }
-    for table, df in load_tables(spark, folder).items():
-        write_csv(df.drop(SEQ), f"{out}/{names[table]}.csv")
-    return row_counts(load_csv_tables(spark, out))
+    loaded = load_csv_tables(spark, csv_folder(written, new_folder(spark, "csv")), formats=forms[1:])
+    parts = [
+        loaded[t].select(F.col(TABLE_KEYS[t]).alias("key"), *[second_text(c).alias(c) for c in DATE_COLUMNS[t]])
+        .unpivot("key", DATE_COLUMNS[t], "column_name", "value").withColumn("table_name", F.lit(t))
+        for t in tables
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def refresh_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables written as CSV, a model refreshed from them twice, and its fact as readers open it."""
+    data, out = csv_folder(load_tables(spark, folder), new_folder(spark, "csv")), new_folder(spark, "model")
+    refresh(spark, data, out, keep=1)
+    refresh(spark, data, out, keep=1)
+    return open_model(spark, out).fact.select(*FACT_COLUMNS)
+
+
+def source_presence(spark: SparkSession, folder: str) -> DataFrame:
+    """The expected files, one of which has not been written."""
+    tables = {t: df for t, df in load_tables(spark, folder).items() if t != "dim_clients"}
+    return source_report(spark, csv_folder(tables, new_folder(spark, "csv")))
+
+
+def dq_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """Declared against loaded types after a CSV load in which some amounts are no numbers."""
+    tables = load_tables(spark, folder)
+    amount = F.when(F.col("order_id") % 20 == 3, "unknown sum").when(F.col("order_id") % 20 == 4, "NA").otherwise(F.col("amount").cast("string"))
+    tables |= {"raw_orders": tables["raw_orders"].withColumn("amount", amount)}
+    return quality.schema_log(load_csv_tables(spark, csv_folder(tables, new_folder(spark, "csv"))))
+
+
+def date_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Per order: its dates as strict timestamps, two days in order with today for a missing one, complete or not."""
+    orders = load_tables(spark, folder)["raw_orders"]
+    promised = strict_timestamp(F.col("promised_delivery_date").cast("string"))
+    first, last = ordered_days(promised, F.col("actual_delivery_date"))
+    complete = scopes.all_present("order_date", "promised_delivery_date", "actual_delivery_date")
+    is_today = (last == F.current_date()) & F.col("actual_delivery_date").isNull()
+    return orders.select(
+        "order_id", day_text(first).alias("first_day"), F.when(is_today, "today").otherwise(day_text(last)).alias("last_day"),
+        complete.alias("complete"),
+    )
 
 
 def na_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -530,7 +646,7 @@ def csv_compact_dates(spark: SparkSession, folder: str) -> DataFrame:
     orders = load_tables(spark, folder)["raw_orders"]
     day, region = F.date_format("order_date", "yyyyMMdd"), F.date_format("promised_delivery_date", "MM/dd/yyyy HH:mm")
     write_csv(orders.select("order_id", day.alias("order_date"), region.alias("promised_delivery_date")), path)
-    return normalize(read_csv(spark, path, False), "raw_orders", ("MM/dd/yyyy HH:mm",)).drop(SEQ)
+    return normalize(read_csv(spark, path), "raw_orders", ("MM/dd/yyyy HH:mm",)).drop(SEQ)
 
 
 QUERIES: dict[str, Query] = {
@@ -609,4 +725,13 @@ QUERIES: dict[str, Query] = {
     "feedback_text_rows": q_feedback_text_rows,
     "causes_from_saved_fact": causes_from_saved_fact,
     "csv_compact_dates": csv_compact_dates,
+    "csv_line_breaks": csv_line_breaks,
+    "csv_rejects": csv_rejects,
+    "csv_text_ids": csv_text_ids,
+    "csv_first_values": csv_first_values,
+    "csv_dated_tables": csv_dated_tables,
+    "refresh_roundtrip": refresh_roundtrip,
+    "source_presence": source_presence,
+    "dq_schema": dq_schema,
+    "date_windows": date_windows,
 }

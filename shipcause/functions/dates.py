@@ -6,6 +6,7 @@ All of them work on ``timestamp_ntz`` and give the same result in every session
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -66,16 +67,26 @@ def second_text(c: str | Column) -> Column:
     return F.substring(column(c).cast("string"), 1, 19)
 
 
-def normalize_dates(df: DataFrame, names: list[str], formats: tuple[str, ...] = ()) -> DataFrame:
+def date_texts(df: DataFrame, names: list[str]) -> list[str]:
+    """Those of ``names`` that the table holds as text."""
+    return [n for n in names if n in df.columns and df.schema[n].dataType.typeName() == "string"]
+
+
+def normalize_dates(
+    df: DataFrame, names: list[str], formats: tuple[str, ...] = (), some_parse: Mapping[str, bool] | None = None
+) -> DataFrame:
     """Parse the date columns that the table has, to whole seconds; a bad value becomes NULL.
 
-    A column in which *no* value parses is read as epoch nanoseconds instead. What parses is counted by one
-    scalar subquery for all columns, so the plan stays lazy and scans the table twice at most.
+    A column in which *no* value parses is read as epoch nanoseconds instead. Unless the caller knows in which
+    columns some do (``some_parse``), that is counted by one scalar subquery for all columns, so the plan stays lazy and
+    scans the table twice at most.
     """
-    text = [n for n in names if n in df.columns and df.schema[n].dataType.typeName() == "string"]
+    text = date_texts(df, names)
     typed = [n for n in names if n in df.columns and n not in text]
     out = {n: to_second(n) for n in typed}
-    if text:
+    if some_parse is not None:
+        out |= {n: to_second(try_timestamp(n, formats) if some_parse[n] else epoch_nanos(n)) for n in text}
+    elif text:
         parsed = df.agg(F.struct(*[F.count(try_timestamp(n, formats)).alias(n) for n in text])).scalar()
         for n in text:
             value = F.when(parsed[n] > 0, try_timestamp(n, formats)).otherwise(epoch_nanos(n))

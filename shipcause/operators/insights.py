@@ -70,13 +70,13 @@ def _sample_orders(fact: DataFrame, by: Sequence[str], k: int, distinct_orders:
     An order counts once per cause (once when it has none), so its id repeats; ``distinct_orders`` lists
     it once. The window keeps ``k`` rows per scope in each map task, before the shuffle.
     """
-    order = [F.desc_nulls_last("delay_hours"), F.col("order_id").cast("bigint")]
+    order = [F.desc_nulls_last("delay_hours"), F.col("order_id")]
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     # The k worst orders hold the k worst entries, as every order has one entry at least.
     rows = fact.where(F.col("order_id").isNotNull())
     worst = rows.select(*by, "order_id", "delay_hours", F.size("causes").alias("n")).withColumn("rank", rank)
     times = F.lit(1) if distinct_orders else F.greatest(F.col("n"), F.lit(1))
-    entry = F.struct("rank", F.col("order_id").cast("bigint").alias("order_id"), times.alias("times"))
+    entry = F.struct("rank", "order_id", times.alias("times"))
     per_scope = worst.where(F.col("rank") <= k).groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("worst"))
     repeated = F.flatten(F.transform("worst", lambda x: F.array_repeat(x["order_id"], x["times"])))
     return per_scope.select(*by, F.slice(repeated, 1, k).alias("sample_orders"))
@@ -117,7 +117,7 @@ def _without_nulls(insights: DataFrame) -> DataFrame:
             "late_rate": F.coalesce("late_rate", F.lit(0.0)),
             "top_causes": F.coalesce("top_causes", no_causes),
             "recommendations": F.coalesce("recommendations", F.array().cast("array<string>")),
-            "sample_orders": F.coalesce("sample_orders", F.array().cast("array<bigint>")),
+            "sample_orders": F.coalesce("sample_orders", F.array().cast(insights.schema["sample_orders"].dataType)),
         }
     )
 

@@ -81,6 +81,31 @@ def orphan_keys(tables: Tables) -> DataFrame:
     return _union([orphans(*r) for r in REFERENCES if r[0] in tables and r[2] in tables])
 
 
+def schema_log(tables: Tables) -> DataFrame:
+    """(table_name, column_name, declared, found, rejected) for every declared column of ``tables``.
+
+    ``found`` is the type as loaded, NULL where the column is missing; ``rejected`` counts the values that are not
+    missing and cannot become the declared type, so a text column of good numbers has none.
+    """
+    logs = []
+    for table, df in tables.items():
+        types = dict(df.dtypes)
+        bad = {
+            c: F.count_if(null_if_missing(F.col(c).cast("string")).isNotNull() & F.col(c).try_cast(declared).isNull())
+            for c, declared in TABLE_SCHEMAS[table].items()
+            if c in types
+        }
+        rows = [
+            F.struct(
+                F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.lit(declared).alias("declared"),
+                F.lit(types.get(c)).cast("string").alias("found"), bad.get(c, F.lit(None)).cast("bigint").alias("rejected"),
+            )
+            for c, declared in TABLE_SCHEMAS[table].items()
+        ]
+        logs.append(df.agg(F.array(*rows).alias("log")).select(F.inline("log")))
+    return _union(logs)
+
+
 def schema_problems(tables: Tables) -> list[tuple[str, str, str]]:
     """(table, column, problem) for columns that are missing or of another type than specified."""
     out = []

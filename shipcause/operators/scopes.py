@@ -109,6 +109,11 @@ def explorer(
     )
 
 
+def all_present(*names: str) -> Column:
+    """None of the columns is NULL."""
+    return all_of(*[F.col(n).isNotNull() for n in names])
+
+
 def range_complete(ranges) -> bool:
     """All four ends of the known date ranges are there (``ranges``: the row of ``date_ranges``)."""
     return all(

@@ -15,6 +15,7 @@ from shipcause.operators.measures import cause_counts, model_stats
 from shipcause.sources.presence import require_sources
 from shipcause.sources.store import write_table
 from shipcause.sources.tables import load_csv_tables, load_parquet_tables, register_views, row_counts
+from shipcause.sources.versions import current, discard, new_version, prune, publish
 
 
 @dataclass(frozen=True)
@@ -61,26 +62,34 @@ def save_model(tables: Mapping[str, DataFrame], folder: str, rules: Sequence[Rul
 
 
 def refresh(
-    spark: SparkSession, data_folder: str, folder: str, multi_line: bool | None = None, formats: Sequence[str] = ()
+    spark: SparkSession, data_folder: str, folder: str, formats: Sequence[str] = (), on_reject: str = "fail", keep: int = 2
 ) -> Model:
-    """CSV files to tables, tables to fact and causes; everything below ``folder`` is replaced.
+    """CSV files to tables, tables to fact and causes, as a new version of the model in ``folder``.
 
-    ``formats`` are date patterns to try after the ISO forms.
+    Readers who open the model meanwhile get the version before; it is switched once everything is written, and
+    a build that fails leaves no trace. The newest ``keep`` versions stay, so that jobs on the one before can end.
+    ``formats`` are date patterns to try after the ISO forms; ``on_reject`` as in ``read_csv``.
     """
     require_sources(spark, data_folder)
-    loaded = load_csv_tables(spark, data_folder, multi_line, formats)
-    tables = {name: write_table(df, f"{folder}/{name}") for name, df in loaded.items()}
-    model = save_model(tables, folder)
-    model.register()
-    return model
+    version = new_version(folder)
+    try:
+        loaded = load_csv_tables(spark, data_folder, formats, on_reject)
+        save_model({name: write_table(df, f"{version}/{name}") for name, df in loaded.items()}, version)
+    except BaseException:
+        discard(spark, version)
+        raise
+    publish(spark, folder, version)
+    prune(spark, folder, keep)
+    return open_model(spark, folder)
 
 
 def open_model(spark: SparkSession, folder: str) -> Model:
-    """The model that :func:`refresh` left in ``folder``."""
+    """The version that the last complete :func:`refresh` left in ``folder``."""
+    version = current(spark, folder)
     model = Model(
-        load_parquet_tables(spark, folder),
-        spark.read.parquet(f"{folder}/fact_order_analysis"),
-        spark.read.parquet(f"{folder}/fact_order_causes"),
+        load_parquet_tables(spark, version),
+        spark.read.parquet(f"{version}/fact_order_analysis"),
+        spark.read.parquet(f"{version}/fact_order_causes"),
     )
     model.register()
     return model

@@ -42,9 +42,9 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> Da
     """
     if partition_by:
         df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+        return df.sparkSession.read.parquet(path)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def save_as_table(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +54,7 @@ def save_as_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """Replace the CSV at ``path`` (a folder of part files with header) by ``df``."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Replace the CSV at ``path`` (a folder of part files with header) by ``df``; white space in cells stays."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', **keep).csv(path)
     return path

@@ -2,65 +2,190 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from shipcause.fixed import DATE_COLUMNS, TABLE_FILES
-from shipcause.functions.dates import normalize_dates
+from shipcause.functions.dates import date_texts, normalize_dates, try_timestamp
 from shipcause.functions.values import normalize_missing
 from shipcause.schemas import SEQ, TABLE_SCHEMAS
+from shipcause.sources.records import cell_count, csv_records, joined, open_records
+from shipcause.sources.store import new_folder, write_table
 
 INTEGER_COLUMNS = {"order_id", "client_id", "warehouse_id", "driver_id"}
+#: An integer as it is written: a text with leading zeros or a plus sign names something else.
+INTEGER = r"^(0|-?[1-9][0-9]{0,17})$"
 
+REJECTS = "file string, position long, reason string, cells int, record string"
 
-def has_line_breaks_in_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether some quoted cell runs over several lines: exactly then a line holds an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    odd = spark.read.text(path).where(quotes % 2 == 1)
-    return not odd.isEmpty()
 
+@dataclass(frozen=True)
+class CsvLoad:
+    """``rows``: the records as columns of text, and their position; ``rejects``: file, position, reason, cells, record
+    of those that do not fit the header."""
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """A CSV with header (one file, or a folder of parts) with every column as text, plus ``load_seq``.
+    rows: DataFrame
+    rejects: DataFrame
 
-    Cells with line breaks force Spark to read a file in one piece. Unless ``multi_line`` says which way
-    to read, a splittable scan looks for such cells first, and files without them are read in splits.
-    ``load_seq`` orders rows as they stand in the files: by file, block, and position in the block.
+
+def load_csv(spark: SparkSession, path: str, short_rows: str = "fill", delimiter: str = ",") -> CsvLoad:
+    """A CSV with header (one file, or a folder of parts), every column as text, and what does not fit in.
+
+    ``load_seq`` is the position of a record over all files, by file name and place. Empty cells are NULL.
+    Rejected are: records with more cells than the header (``surplus cells``); with ``short_rows="reject"`` also
+    those with fewer (``missing cells``), which otherwise end with NULLs; a quoted cell that is never closed
+    (``open quote``, one row per split that it covers); a part whose first line differs from the first one's
+    (``header``). Blank lines are skipped. Files are read in splits whatever their cells hold.
     """
-    if multi_line is None:
-        multi_line = has_line_breaks_in_quotes(spark, path)
-    rows = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .csv(path)
+    return load_csvs(spark, {"": path}, short_rows, delimiter)[""]
+
+
+def load_csvs(
+    spark: SparkSession, paths: Mapping[str, str], short_rows: str = "fill", delimiter: str = ","
+) -> dict[str, CsvLoad]:
+    """:func:`load_csv` for several CSVs, which are read together."""
+    if short_rows not in ("fill", "reject"):
+        raise ValueError(f"unknown short_rows {short_rows!r}")
+    reader = spark.read.option("header", True).option("escape", '"').option("sep", delimiter)
+    names = {table: reader.csv(path).columns for table, path in paths.items()}
+    filled = [table for table, columns in names.items() if columns]
+    none = CsvLoad(spark.createDataFrame([], f"{SEQ} long"), spark.createDataFrame([], REJECTS))
+    if not filled:
+        return dict.fromkeys(paths, none)
+    records = csv_records(spark, [paths[table] for table in filled], delimiter)
+    widths = [len(names[table]) for table in filled]
+    # one row shape for all sources, so that they are parsed in the pass that cuts them
+    shape = ", ".join(f"c{i} string" for i in range(max(widths)))
+    options = {"escape": '"', "sep": delimiter, "maxColumns": str(max(512, 2 * max(widths)))}
+    width = F.element_at(F.array(*[F.lit(n) for n in widths]), F.col("source") + 1)
+
+    def parsed(rows: DataFrame) -> DataFrame:
+        """``cells`` and, where these fit the header, ``row``; the record only where they do not."""
+        rows = rows.withColumn("cells", F.when(F.col("whole"), cell_count(F.col("record"), delimiter)))
+        fits = F.col("cells") <= width if short_rows == "fill" else F.col("cells") == width
+        rows = rows.filter(~F.col("whole") | (F.trim("record") != ""))
+        rows = rows.withColumn("row", F.when(F.col("whole") & fits, F.from_csv("record", shape, options)))
+        return rows.withColumn("record", F.when(F.col("row").isNull(), F.col("record")))
+
+    cut = write_table(parsed(records.cut), new_folder(spark, "csv-rows"))
+    rows, pieces = cut.filter("whole").drop("block"), cut.filter("not whole")
+    if not pieces.isEmpty():
+        rows = rows.unionByName(parsed(joined(pieces, records.files).withColumn("whole", F.lit(True))))
+    heads = rows.filter("header").withColumn("head", F.coalesce(F.to_json("row"), "record"))
+    first_heads = heads.groupBy("source").agg(F.min_by("head", "number").alias("first_head"))
+    bad = [
+        rows.filter("row is null and not header").withColumn("reason", F.when(F.col("cells") > width, "surplus cells").otherwise("missing cells")),
+        pieces.join(open_records(records.files), ["source", "number"], "left_semi").withColumn("reason", F.lit("open quote")),
+        heads.join(first_heads, "source").filter("head <> first_head").drop("record").withColumnRenamed("head", "record").withColumn("reason", F.lit("header")),
+    ]
+    columns = ["source", "file", "number", "reason", "cells", "record"]
+    rejects = reduce(DataFrame.unionByName, [df.select(*columns) for df in bad]).join(records.files.select("source", "file", "name"), ["source", "file"])
+    rejects = rejects.select("source", F.col("name").alias("file"), F.col("number").alias("position"), "reason", "cells", "record")
+    good = rows.filter("row is not null and not header")
+
+    def one(source: int, columns: list[str]) -> CsvLoad:
+        mine = good.filter(F.col("source") == source)
+        cells = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)]
+        return CsvLoad(mine.select(*cells, F.col("number").alias(SEQ)), rejects.filter(F.col("source") == source).drop("source"))
+
+    return dict.fromkeys(paths, none) | {table: one(i, names[table]) for i, table in enumerate(filled)}
+
+
+class RejectedRows(ValueError):
+    """Some records of a CSV do not fit its header."""
+
+
+def refuse(rejects: DataFrame, shown: int = 5) -> None:
+    """Raise with the first of ``rejects``, if there are any."""
+    some = rejects.orderBy("position").limit(shown + 1).collect()
+    if some:
+        lines = [f"{r.file} record {r.position}: {r.reason}" for r in some[:shown]]
+        raise RejectedRows("; ".join(lines) + ("; and more" if len(some) > shown else ""))
+
+
+def read_csv(spark: SparkSession, path: str, on_reject: str = "fail", short_rows: str = "fill", delimiter: str = ",") -> DataFrame:
+    """The rows of :func:`load_csv`. Rejected records make it fail; ``on_reject="skip"`` leaves them out."""
+    loaded = load_csv(spark, path, short_rows, delimiter)
+    if on_reject == "fail":
+        refuse(loaded.rejects)
+    elif on_reject != "skip":
+        raise ValueError(f"unknown on_reject {on_reject!r}")
+    return loaded.rows
+
+
+def id_columns(df: DataFrame, table: str) -> list[str]:
+    return [c for c in df.columns if c in INTEGER_COLUMNS and c in TABLE_SCHEMAS[table]]
+
+
+def profile(df: DataFrame, table: str, formats: Sequence[str] = ()) -> Row:
+    """What decides types, in one pass: per date column of text how many parse, per id column how many are no integers."""
+    dates = {c: F.count(try_timestamp(c, tuple(formats))) for c in date_texts(df, DATE_COLUMNS[table])}
+    ids = {c: F.count_if(~F.col(c).cast("string").rlike(INTEGER)) for c in id_columns(df, table)}
+    found = df.agg(
+        F.struct(F.lit(0).alias("_"), *[n.alias(c) for c, n in dates.items()]).alias("dates"),
+        F.struct(F.lit(0).alias("_"), *[n.alias(c) for c, n in ids.items()]).alias("texts"),
     )
-    position = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return rows.withColumn(SEQ, position)
+    return found.first()
+
 
+def text_ids(profiles: Iterable[Row]) -> set[str]:
+    """Id columns that hold a text somewhere. They stay text in all tables, so that they still join."""
+    return {c for p in profiles for c, n in p.texts.asDict().items() if n}
 
-def normalize(df: DataFrame, table: str, formats: tuple[str, ...] = ()) -> DataFrame:
+
+def typed(df: DataFrame, table: str, found: Row, formats: Sequence[str] = (), texts: Iterable[str] = ()) -> DataFrame:
+    """Dates as timestamps and ids as integers, or as text where named in ``texts``, as ``found`` says."""
+    parsed = {c: n > 0 for c, n in found.dates.asDict().items()}
+    df = normalize_dates(df, DATE_COLUMNS[table], tuple(formats), parsed)
+    return df.withColumns({c: F.col(c).cast("string" if c in texts else "bigint") for c in id_columns(df, table)})
+
+
+def normalize(df: DataFrame, table: str, formats: Sequence[str] = ()) -> DataFrame:
     """Missing-value texts to NULL, date columns to timestamps, id columns to integers where all are."""
-    df = normalize_dates(normalize_missing(df), DATE_COLUMNS[table], formats)
-    ids = [c for c in df.columns if c in INTEGER_COLUMNS and c in TABLE_SCHEMAS[table]]
-    return df.withColumns({c: F.col(c).cast("bigint") for c in ids}) if ids else df
+    df = normalize_missing(df)
+    found = profile(df, table, formats)
+    return typed(df, table, found, formats, text_ids([found]))
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """``tables`` by name, and the ``rejects`` of all of them with their table_name."""
+
+    tables: dict[str, DataFrame]
+    rejects: DataFrame
+
+
+def load_csv_folder(
+    spark: SparkSession, folder: str, formats: Sequence[str] = (), short_rows: str = "fill", files: Mapping[str, str] = TABLE_FILES
+) -> Loaded:
+    """The tables of a folder of CSV files, typed and normalised, and the records that do not fit.
+
+    An id column is an integer in all tables if it is in every one, else text in all of them.
+    """
+    loads = load_csvs(spark, {table: f"{folder}/{file}" for table, file in files.items()}, short_rows)
+    raw = {table: normalize_missing(load.rows) for table, load in loads.items()}
+    found = {table: profile(df, table, formats) for table, df in raw.items()}
+    texts = text_ids(found.values())
+    rejects = [load.rejects.withColumn("table_name", F.lit(table)) for table, load in loads.items()]
+    return Loaded(
+        {table: typed(df, table, found[table], formats, texts) for table, df in raw.items()},
+        reduce(DataFrame.unionByName, rejects),
+    )
 
 
 def load_csv_tables(
-    spark: SparkSession, folder: str, multi_line: bool | None = None, formats: Sequence[str] = ()
+    spark: SparkSession, folder: str, formats: Sequence[str] = (), on_reject: str = "fail", short_rows: str = "fill"
 ) -> dict[str, DataFrame]:
-    """The eight tables of a folder of CSV files, typed and normalised, lazily."""
-    return {
-        table: normalize(read_csv(spark, f"{folder}/{file}", multi_line), table, tuple(formats))
-        for table, file in TABLE_FILES.items()
-    }
+    """The eight tables of a folder of CSV files. Rejected records make it fail; ``on_reject="skip"`` leaves them out."""
+    loaded = load_csv_folder(spark, folder, formats, short_rows)
+    if on_reject == "fail":
+        refuse(loaded.rejects)
+    elif on_reject != "skip":
+        raise ValueError(f"unknown on_reject {on_reject!r}")
+    return loaded.tables
 
 
 def load_parquet_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

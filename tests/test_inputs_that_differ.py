@@ -10,7 +10,7 @@ from shipcause.operators.feedback import feedback_text_rows
 from shipcause.plans.model import save_model
 from shipcause.plans.scenarios import compare_cities
 from shipcause.sources.presence import source_report
-from shipcause.sources.query import fetch_select, run_select
+from shipcause.sources.query import iterate_select, preview_select, run_select
 from shipcause.sources.store import new_folder, shared_folder
 from tests.fixtures import tables
 
@@ -35,19 +35,54 @@ def test_large_driver_ids(spark):
     assert build_fact(t, "cli").first().driver_id == 3_000_000_000
 
 
-def test_ad_hoc_queries_stay_within_the_tables(spark):
-    for sql in ("select reflect('java.lang.System', 'nanoTime')", "select java_method('a', 'b')", "select * from parquet.`/tmp`", "drop table x"):
-        assert run_select(spark, sql).rows is None
-    rows, error = fetch_select(spark, "select cast('x' as int) as n")
-    assert rows == [] and error.startswith("Query failed")
-    rows, error = fetch_select(spark, "select 1 as reflected")
-    assert rows[0].reflected == 1 and error is None
-
-
-def test_ad_hoc_queries_return_all_rows(spark):
-    rows, error = fetch_select(spark, "select id from range(1500) order by id")
-    assert [r.id for r in rows] == list(range(1500)) and error is None
-    assert len(fetch_select(spark, "select id from range(1500)", limit=7)[0]) == 7
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select reflect('java.lang.System', 'nanoTime')", "select java_method('java.lang.System', 'nanoTime')",
+        "select try_reflect('java.lang.System', 'nanoTime')", "select id from range(3) where id < (select max(id) from range(2) where length(reflect('java.lang.System', 'getProperty', 'os.name')) > 0)",
+        "select * from parquet.`{path}`", "select x.id from (select 1 as id) x, parquet.`{path}` y", "select * from `parquet`.`{path}`",
+        "select x.id from (select 1 as id) x join parquet.`{path}` y on x.id = y.id", "select 1 where exists (select * from parquet.`{path}`)",
+        "select * from (with t as (select * from parquet.`{path}`) select * from t)", "select transform(id) using 'cat' as (x string) from range(3)",
+        "select 1 in (select id from parquet.`{path}`)", "select * from registered r, lateral (select * from parquet.`{path}` p where p.id = r.id)",
+        "select * from text.`{path}`", "drop table x",
+    ],
+)
+def test_ad_hoc_queries_stay_within_the_tables(spark, tmp_path, sql):
+    path = f"{tmp_path}/t"
+    spark.range(3).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("registered")
+    result = run_select(spark, sql.replace("{path}", path))
+    assert result.rows is None and result.error
+    assert preview_select(spark, sql.replace("{path}", path)).error
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select 1 as reflected", "select * from registered r join stored s using (id)", "select count(*) from registered where id in (select id from stored)",
+        "select * from (with t as (select id, row_number() over (order by id) n from registered) select * from t where n > 1 union select 7, 8)",
+        "select id, x from registered lateral view explode(array(1, 2)) as x limit 2 offset 1", "select distinct id % 2 from stored order by 1",
+        "select * from (select id % 2 a, id b from stored) pivot (sum(b) for a in (0, 1))", "select id, count(*) from registered group by cube(id) having count(*) > 0",
+        "select * from values (1, 2), (3, 4) as t(a, b)", "select * from registered r, lateral (select max(id) from stored s where s.id <= r.id)",
+    ],
+)
+def test_ad_hoc_queries_over_tables_and_views(spark, tmp_path, sql):
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    spark.read.parquet(f"{tmp_path}/t").createOrReplaceTempView("registered")
+    spark.range(4).write.mode("overwrite").saveAsTable("stored")
+    shown = preview_select(spark, sql)
+    assert shown.error is None and shown.rows
+
+
+def test_ad_hoc_queries_show_errors_and_what_is_left(spark):
+    shown = preview_select(spark, "select cast('x' as int) as n")
+    assert shown.rows == [] and shown.error.startswith("Query failed")
+    shown = preview_select(spark, "select id from range(1500) order by id", limit=1499)
+    assert [r.id for r in shown.rows] == list(range(1499)) and shown.more
+    assert not preview_select(spark, "select id from range(7)", limit=7).more
+    assert [r.id for r in iterate_select(spark, "select id from range(1500) order by id")] == list(range(1500))
+    with pytest.raises(ValueError, match="Only SELECT"):
+        iterate_select(spark, "show tables")
 
 
 def test_files_in_subfolders_are_not_the_sources(spark, tmp_path):
