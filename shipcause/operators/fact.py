@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,6 +23,7 @@ from shipcause.operators.causes import (
 )
 from shipcause.operators.feedback import feedback_summary_cli, feedback_summary_model, feedback_text
 from shipcause.operators.firsts import first_row_per_key, first_value_per_key, worst_factor
+from shipcause.operators.spread import join_dimension, with_key
 from shipcause.schemas import FACT_COLUMNS, SEQ
 
 Tables = Mapping[str, DataFrame]
@@ -106,7 +108,8 @@ def build_fact(
     ``preset="model"`` takes the first log row of an order whole, ``preset="cli"`` the first value of each
     log column. Each log is reduced to one row per order before it is joined, and all these joins
     share the partitioning on ``order_id``. Dimensions are joined to the narrowest side that holds their
-    key; Spark broadcasts a dimension when its measured size allows and splits hot keys otherwise.
+    key; Spark broadcasts a dimension when its measured size allows, and otherwise the rows of common clients and
+    warehouses are spread out (``spread.join_dimension``). Orders without id are set aside before the joins.
     ``columns`` names what the caller reads: joins that serve none of them are not made. Dimension keys
     are unique by contract (``quality.duplicate_keys`` reports breaches).
     """
@@ -121,26 +124,26 @@ def _model_fact(tables: Tables, columns: Sequence[str] | None, rules: Sequence[R
     wanted = list(columns) if columns else [*FACT_COLUMNS, MONTH, "feedback_needles"]
     need = set(wanted)
 
-    orders = tables["raw_orders"]
-    if "client_name" in need:
-        orders = orders.join(client_dim(tables["dim_clients"]), "client_id", "left")
-
     # Only what is read of a log row goes through its shuffle.
+    reduced = []
     if columns_read := _sources(STOCK_SOURCES, need):
-        stock = first_row_per_key(tables["raw_warehouse_logs"], "order_id", [SEQ], columns_read)
+        logs = tables["raw_warehouse_logs"]
+        stock = first_row_per_key(logs, "order_id", [SEQ], columns_read)
         if need & WAREHOUSE_DIM_COLUMNS:
-            stock = stock.join(warehouse_dim(tables["dim_warehouses"]), "warehouse_id", "left")
-        orders = orders.join(stock.withColumnsRenamed({"notes": "warehouse_notes"}), "order_id", "left")
+            stock = join_dimension(stock, warehouse_dim(tables["dim_warehouses"]), "warehouse_id", logs)
+        reduced.append(stock.withColumnsRenamed({"notes": "warehouse_notes"}))
     if columns_read := _sources(FLEET_SOURCES, need):
-        fleet = first_row_per_key(tables["raw_fleet_logs"], "order_id", [SEQ], columns_read)
-        orders = orders.join(fleet, "order_id", "left")
-
+        reduced.append(first_row_per_key(tables["raw_fleet_logs"], "order_id", [SEQ], columns_read))
     if need & FACTOR_COLUMNS:
-        orders = orders.join(worst_factor(tables["raw_external_factors"], "model"), "order_id", "left")
+        reduced.append(worst_factor(tables["raw_external_factors"], "model"))
     if need & FEEDBACK_COLUMNS:
-        orders = orders.join(feedback_summary_model(tables["raw_feedback"], needles(rules)), "order_id", "left")
+        reduced.append(feedback_summary_model(tables["raw_feedback"], needles(rules)))
     if "feedback_text_concat" in need:
-        orders = orders.join(feedback_text(tables["raw_feedback"]), "order_id", "left")
+        reduced.append(feedback_text(tables["raw_feedback"]))
+
+    orders = _with_reduced(tables["raw_orders"], reduced)
+    if "client_name" in need:
+        orders = join_dimension(orders, client_dim(tables["dim_clients"]), "client_id", tables["raw_orders"])
 
     derived = {
         "amount": as_double(tables["raw_orders"], "amount"),
@@ -153,6 +156,11 @@ def _model_fact(tables: Tables, columns: Sequence[str] | None, rules: Sequence[R
     return orders.select(*[derived[c].alias(c) if c in derived else c for c in wanted])
 
 
+def _with_reduced(orders: DataFrame, reduced: Sequence[DataFrame]) -> DataFrame:
+    """``orders`` left-joined with frames of one row per order."""
+    return with_key(orders, "order_id", lambda rows: reduce(lambda left, right: left.join(right, "order_id", "left"), reduced, rows))
+
+
 def _sources(sources: Mapping[str, list[str]], need: set[str]) -> list[str]:
     return list(dict.fromkeys(c for name, parts in sources.items() if name in need for c in parts))
 
@@ -169,39 +177,39 @@ def _cli_fact(tables: Tables, columns: Sequence[str] | None, tags: dict[str, str
     def read(names: set[str]) -> bool:
         return need is None or bool(need & names)
 
-    fact = orders
-    if read({"client_name"}):
-        fact = fact.join(client_dim(tables["dim_clients"]), "client_id", "left")
-
-    stock = tables["raw_warehouse_logs"].withColumns(
-        {"picking_minutes": picking_minutes(), "dispatch_lag_minutes": dispatch_lag_minutes()}
-    )
-    stock = _first_values(stock, orders, "_wh", need, {"warehouse_id"} if read(WAREHOUSE_DIM_COLUMNS) else set())
+    reduced = []
+    logs = tables["raw_warehouse_logs"]
+    stock = logs.withColumns({"picking_minutes": picking_minutes(), "dispatch_lag_minutes": dispatch_lag_minutes()})
+    taken = set(orders.columns)
+    stock = _first_values(stock, taken, "_wh", need, {"warehouse_id"} if read(WAREHOUSE_DIM_COLUMNS) else set())
     if stock is not None:
         if read(WAREHOUSE_DIM_COLUMNS):
-            stock = stock.join(warehouse_dim(tables["dim_warehouses"]), "warehouse_id", "left")
-        fact = fact.join(stock, "order_id", "left")
+            stock = join_dimension(stock, warehouse_dim(tables["dim_warehouses"]), "warehouse_id", logs)
+        reduced.append(stock)
+        taken |= set(stock.columns)
 
     fleet = tables["raw_fleet_logs"].withColumns(
         {"driver_id": F.col("driver_id").cast("bigint"), "transit_hours": transit_hours()}
     )
-    fleet = _first_values(fleet, fact, "_fleet", need)
+    fleet = _first_values(fleet, taken, "_fleet", need)
     if fleet is not None:
-        fact = fact.join(fleet, "order_id", "left")
+        reduced.append(fleet)
 
     if read(FACTOR_COLUMNS):
-        fact = fact.join(worst_factor(tables["raw_external_factors"], "cli"), "order_id", "left")
+        reduced.append(worst_factor(tables["raw_external_factors"], "cli"))
     if read(FEEDBACK_COLUMNS):
-        fact = fact.join(feedback_summary_cli(tables["raw_feedback"], tags), "order_id", "left")
+        reduced.append(feedback_summary_cli(tables["raw_feedback"], tags))
+    fact = _with_reduced(orders, reduced)
+    if read({"client_name"}):
+        fact = join_dimension(fact, client_dim(tables["dim_clients"]), "client_id", tables["raw_orders"])
     fact = fact.withColumns(delay_columns("cli"))
     return fact.select(*columns) if columns else fact
 
 
 def _first_values(
-    log: DataFrame, left: DataFrame, suffix: str, need: set[str] | None, also: set[str] = frozenset()
+    log: DataFrame, taken: set[str], suffix: str, need: set[str] | None, also: set[str] = frozenset()
 ) -> DataFrame | None:
-    """The first values of the log columns that are read, renamed where ``left`` has the name; None for none."""
-    taken = set(left.columns)
+    """The first values of the log columns that are read, renamed where the name is ``taken``; None for none."""
     names = {c: c + suffix if c in taken else c for c in log.columns if c not in ("order_id", SEQ)}
     names = {c: n for c, n in names.items() if need is None or n in need or c in also}
     if not names:

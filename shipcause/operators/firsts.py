@@ -16,21 +16,27 @@ from shipcause.functions.values import column
 from shipcause.schemas import SEQ
 
 
+def place(df: DataFrame, order: Sequence[str | Column]) -> Column:
+    """What ``order`` compares, ascending and NULL first: a position that is one integer, else a struct."""
+    if len(order) == 1 and isinstance(order[0], str) and df.schema[order[0]].dataType.typeName() in ("long", "integer"):
+        return F.coalesce(F.col(order[0]).cast("bigint"), F.lit(-(2**63)))
+    return F.struct(*[column(c).alias(f"rank{i}") for i, c in enumerate(order)])
+
+
 def first_row_per_key(
     df: DataFrame, key: str, order: Sequence[str | Column], columns: Sequence[str | Column]
 ) -> DataFrame:
     """``columns`` of the row that comes first by ``order`` (ascending, NULL first); NULL keys are left out."""
-    ranks = [column(c).alias(f"rank{i}") for i, c in enumerate(order)]
-    best = F.min(F.struct(*ranks, F.struct(*columns).alias("row"))).alias("best")
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, "best.row.*")
+    best = F.min_by(F.struct(*columns), place(df, order)).alias("best")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, "best.*")
 
 
 def first_value_per_key(df: DataFrame, key: str, order: str, columns: Sequence[str]) -> DataFrame:
     """For each column on its own, the first value by ``order`` that is not NULL."""
+    at = place(df, [order])
 
     def first(name: str) -> Column:
-        pair = F.when(F.col(name).isNotNull(), F.struct(F.col(order).alias("at"), F.col(name).alias("value")))
-        return F.min(pair)["value"].alias(name)
+        return F.min_by(name, F.when(F.col(name).isNotNull(), at)).alias(name)
 
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[first(c) for c in columns])
 
