@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,7 +68,7 @@ ENDS_PARAGRAPH = BLOCKS - {"body", "html", "option", "optgroup", "legend", "capt
 HEAD_ONLY = {"base", "link", "meta", "title", "style", "script", "noscript", "template", "head", "html", "bgsound"}
 
 TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<slash>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<slash>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -87,6 +88,13 @@ HIDES = {
     "content-visibility": re.compile("visible|hidden|auto|" + "|".join(GLOBAL)),
 }
 SPACES = re.compile(r"[ \t\n\r\f]+")
+INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,9})(?![0-9])")
+#: Columns of a table, and rows that a cell may go over, at most; what is beyond stands in columns and rows of its own.
+COLUMNS, ROWS = 1000, 65_534
+#: Longer lines run over their column instead of widening it.
+WIDEST = 100
+#: Cells are aligned where that makes a table at most so many times longer (and so many characters).
+PADDING, ALLOWANCE = 8, 4096
 
 
 class Node:
@@ -298,11 +306,21 @@ class Lines:
         return self.lines
 
 
+#: The lines of a table cell, and how many columns and rows it goes over.
+Cell = tuple[list[str], int, int]
+
+
+def integer(text: str, default: int) -> int:
+    """The number that an attribute begins with, as HTML reads it; ``default`` for none and for very large ones."""
+    found = INTEGER.match(text)
+    return int(found[1]) if found else default
+
+
 def render(root: Node) -> str:
     """All visible text below ``root``. Goes through the tree with its own stack, so depth does not matter."""
     outs = [Lines()]
     lists: list[list] = []
-    tables: list[list[list[list[str]]]] = []
+    tables: list[list[list[Cell]]] = []
     pre = 0
     # shown: by visibility; drawn: in a drawing only what stands in its text elements
     todo: list[tuple[Node | str, bool, bool, bool]] = [(root, False, True, True)]
@@ -337,8 +355,7 @@ def render(root: Node) -> str:
             if name in BLOCKS or node.inside == "svg" and name in ("text", "foreignobject"):
                 out.break_(blank=name in MARGINS and not (name in LISTS and lists))
             if name in LISTS:
-                start = node.attributes.get("start", "1")
-                lists.append([name == "ol", int(start) if start.lstrip("-").isdigit() else 1])
+                lists.append([name == "ol", integer(node.attributes.get("start", ""), 1)])
                 out.indent += 2
             elif name == "li":
                 numbered = lists[-1] if lists else [False, 1]
@@ -394,10 +411,10 @@ def render(root: Node) -> str:
             pre -= 1
         elif name in ("td", "th") and len(outs) > 1:
             cell = outs.pop().result()
-            span = node.attributes.get("colspan", "1")
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].extend([cell, *[[]] * (min(int(span), 1000) - 1 if span.isdigit() and int(span) else 0)])
+            across, down = (integer(node.attributes.get(a, ""), 1) for a in ("colspan", "rowspan"))
+            tables[-1][-1].append((cell, max(1, across), ROWS if down == 0 else max(1, down)))
         elif name == "table" and tables:
             out.whole(aligned(tables.pop()))
         if name in BLOCKS or node.inside == "svg" and name in ("text", "foreignobject"):
@@ -405,16 +422,51 @@ def render(root: Node) -> str:
     return "\n".join(outs[0].result()).strip("\n")
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Table rows as lines, each column as wide as its widest cell, two spaces apart."""
-    widths: list[int] = []
+def grid(rows: list[list[Cell]]) -> list[list[list[str]]]:
+    """Every row's cells by column, with nothing where a cell from the left or from above stands."""
+    taken: dict[int, int] = {}  # column -> rows that a cell from above still covers
+    out = []
     for row in rows:
+        placed: list[list[str]] = []
+        below = {c: n - 1 for c, n in taken.items() if n > 1}
+
+        def skip() -> None:
+            while len(placed) in taken:
+                placed.append([])
+
+        for cell, across, down in row:
+            skip()
+            across = min(across, max(1, COLUMNS - len(placed)))
+            if down > 1 and len(placed) < COLUMNS:
+                below.update(dict.fromkeys(range(len(placed), len(placed) + across), down - 1))
+            placed += [cell, *[[]] * (across - 1)]
+        taken = below
+        out.append(placed)
+    return out
+
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Table rows as lines, each column as wide as its widest line, two spaces apart.
+
+    Lines of more than ``WIDEST`` characters do not count for the width and run over it. A table that padding would
+    make many times longer is given without padding.
+    """
+    cells = grid(rows)
+    widths: list[int] = []
+    for row in cells:
         widths.extend([0] * (len(row) - len(widths)))
         for i, cell in enumerate(row):
-            widths[i] = max([widths[i], *map(len, cell)])
+            widths[i] = max([widths[i], *(len(line) for line in cell if len(line) <= WIDEST)])
+    up_to = [0, *accumulate(w + 2 for w in widths)]
+    heights = [max((len(cell) for cell in row), default=0) for row in cells]
+    plain = sum(len(line) + 2 for row in cells for cell in row for line in cell)
+    padded = sum(n * up_to[max((i + 1 for i, cell in enumerate(row) if cell), default=0)] for n, row in zip(heights, cells, strict=True))
+    if padded > PADDING * plain + ALLOWANCE:
+        widths = [0] * len(widths)
+        cells = [[cell for cell in row if cell] for row in cells]
     lines = []
-    for row in rows:
-        for k in range(max((len(cell) for cell in row), default=0)):
+    for n, row in zip(heights, cells, strict=True):
+        for k in range(n):
             parts = [(cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)]
             lines.append("  ".join(parts).rstrip(" "))
     return lines
@@ -438,6 +490,9 @@ def visible_text(html: Column) -> Column:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text``, the visible text of ``html``, in place of the latter.
 
+    Visibility is what elements and their attributes say, ``style`` among them; rules of style sheets, the page's own
+    ones as well, are not read, so what only they hide is kept.
+
     Every row stays, also repeated ones and those without id; an empty table gives no rows; a column ``text``
     that was there is replaced. Pages are rendered row by row, whole, without a shuffle.
     """
