@@ -91,7 +91,7 @@ def arc_records(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str]
         if not line.strip():
             continue
         values = line.decode("utf-8", "replace").split()
-        if not values[-1].isdigit():
+        if not (values[-1].isascii() and values[-1].isdigit()):
             raise ValueError(f"no length at the end of an ARC header line: {line[:200]!r}")
         content = stream.read(int(values[-1]))
         cut = len(content) < int(values[-1])
@@ -105,13 +105,29 @@ def arc_records(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str]
             yield version, dict(zip(names, [" ".join(values[: extra + 1]), *values[extra + 1 :]], strict=False)), content, cut
 
 
+BLANK_LINE = re.compile(rb"\r?\n\r?\n")
+PAGE_NUMBER = re.compile("-?[0-9]{1,19}")
+
+
 def http_parts(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
-    """Head with its blank line, header fields by lower-case name, and body of an HTTP response."""
-    head, blank, body = block.partition(b"\r\n\r\n")
-    if not blank:
-        head, blank, body = b"", b"", block
-    pairs = [x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]]
-    return head + blank, {k.strip().lower(): v.strip() for k, _, v in pairs}, body
+    """Head with its blank line, header fields by lower-case name, and body of an HTTP response.
+
+    Lines of the head end with CR LF, or with LF alone as in many old archives.
+    """
+    if block.startswith(b"HTTP/"):
+        blank = BLANK_LINE.search(block)
+        end = blank.end() if blank else 0
+    else:
+        end = block.find(b"\r\n\r\n") + 4 if b"\r\n\r\n" in block else 0
+    head = block[:end]
+    pairs = [x.rstrip("\r").partition(":") for x in head.decode("utf-8", "replace").split("\n")[1:] if x.strip("\r")]
+    return head, {k.strip().lower(): v.strip() for k, _, v in pairs}, block[end:]
+
+
+def page_number(text: str) -> int | None:
+    """A 64-bit number written in ASCII digits, else None."""
+    number = int(text) if PAGE_NUMBER.fullmatch(text) else None
+    return number if number is not None and -(2**63) <= number < 2**63 else None
 
 
 def iso_date(digits: str) -> str:
@@ -150,7 +166,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
             kind = "warcinfo" if fields["URL"].startswith("filedesc:") else "response"
             head, http, body = http_parts(content) if kind == "response" else (b"", {}, content)
             yield {
-                "kind": kind, "arc_version": version, "page_id": int(i) if (i := http.get("x-page-id", "")).lstrip("-").isdigit() else None,
+                "kind": kind, "arc_version": version, "page_id": page_number(http.get("x-page-id", "")),
                 "url": fields["URL"], "ip": fields["IP-address"], "date": iso_date(fields["Archive-date"]),
                 "mime": fields["Content-type"], "cut": cut, "payload_bytes": len(body), "payload_digest": hashlib.sha256(body).hexdigest(),
                 **({"head": head, "payload": body} if payloads else {}),

@@ -6,12 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from checks.compare import database, difference, duckdb_rows, spark_rows
 from shipcause.llm.line_dedup import (
-    OP13_SQL, SEGMENT_BYTES, Pair, drop_repeated_lines, op13_bloom_lines, probes, short, suspects, twice_seen, whole,
+    SEGMENT_BYTES, Pair, drop_repeated_lines, probes, short, suspects, twice_seen, whole,
 )
 
-FOLDER = "/root/testdata/sf0.001"
 
 
 def key(line):
@@ -35,11 +33,6 @@ def found(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_whole_table_equals_sql(spark):
-    got = spark_rows(op13_bloom_lines(spark, FOLDER))
-    assert difference(got, duckdb_rows(database(FOLDER), OP13_SQL)) is None
-
-
 def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert found(drop_repeated_lines(odd_docs)) == by_hand(rows)

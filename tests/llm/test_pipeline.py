@@ -17,7 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "mixing", "encoding"]
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert set(ORACLES) <= set(QUERIES)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shipcause.llm import warc as warc_module
-from shipcause.llm.warc import archive_pages, arc_records, convert, http_parts, iso_date, read_arc, warc_records, write_arc
+from shipcause.llm.warc import arc_records, archive_pages, convert, http_parts, iso_date, page_number, read_arc, warc_records, write_arc
 from shipcause.sources.store import new_folder
 
 V1 = (
@@ -67,3 +67,17 @@ def test_files_are_archives_of_both_versions(spark, tmp_path):
     first = next(f for f, _ in found if f["warc-type"] == "response")
     assert all(f["warc-refers-to"] == first["warc-record-id"] for f, _ in found if f["warc-type"] == "revisit")
     assert len({f["warc-record-id"] for f, _ in found}) == len(found)
+
+
+def test_heads_of_old_archives():
+    fields = {"content-type": "text/html", "x-page-id": "7"}
+    for end in (b"\r\n", b"\n"):
+        head = end.join([b"HTTP/1.0 200 OK", b"Content-Type: text/html", b"X-Page-Id: 7", b"", b""])
+        assert http_parts(head + b"<html>\r\n\r\nx") == (head, fields, b"<html>\r\n\r\nx")
+    assert http_parts(b"HTTP/1.0 200 OK\nno end") == (b"", {}, b"HTTP/1.0 200 OK\nno end")
+    assert http_parts(b"<html>\n\n<p>") == (b"", {}, b"<html>\n\n<p>")
+    assert http_parts(b"HTTP/1.0 200 OK\n\n") == (b"HTTP/1.0 200 OK\n\n", {}, b"")
+
+
+def test_page_numbers():
+    assert [page_number(t) for t in ("7", "-7", str(2**63 - 1), str(2**63), "²", "", "--7", "7" * 4000)] == [7, -7, 2**63 - 1, None, None, None, None, None]
