@@ -2,15 +2,17 @@
 
 1. Every source is packed: its documents' words follow each other in one stream, cut into blocks of a fixed
    number of words (the last one may be shorter).
-2. The output consists of shards of equal expected size. Each shard draws how many blocks it takes from every
-   source: the whole part of its expected count is given, the fractions are drawn as a multinomial.
+2. The output consists of shards of equal size. Every source has as many slots as its target asks for, and each
+   shard draws its slots from those of all sources without putting any back: how many it takes from every source
+   is a multinomial draw, given that each source's total over all shards meets its target.
 3. The slots of a source are numbered over all shards. Slot j is round j div n over the source's n blocks, and
    j mod n goes through that round's own pseudorandom permutation of 0 to n - 1, so a block comes again only
    after all others have come.
 4. Blocks are joined to slots by source and block number.
 
 Everything random is a hash of a seed, so reruns agree. Nothing is ever sorted or numbered for a whole source
-in one task: documents are dealt into hash chunks, and running sums go over the chunk sizes.
+in one task: documents are dealt into hash chunks, and running sums go over the chunk sizes. Sources may be many:
+they are numbered by ranges, and running sums over them go by stretches.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shipcause.llm.common import WORD, free_name, kept, table, uniform
+from shipcause.llm.numbering import numbered
 
 WEIGHTS = (5, 2, 1)
 #: A document comes at most so many times.
@@ -30,7 +33,10 @@ BLOCK_WORDS = 32
 SHARD_BLOCKS = 1 << 16
 DOCS_PER_CHUNK = 1024
 SLOTS_PER_TASK = 1 << 17
-ROUNDS = 10
+#: Rounds of a permutation within a shard or source, and of the one that deals all slots to shards.
+ROUNDS, DRAW_ROUNDS = 10, 24
+#: Running sums over sources: one task for so many neighbours, and one for the stretches' totals.
+STRETCH = 4096
 #: Up to so many sources their table (100 bytes a row) is broadcast; beyond, it is joined by shuffling.
 BROADCAST_SOURCES = 10_000
 
@@ -58,66 +64,75 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Sources by code point, NULL last, have the weights in turn and share all words. A target stops at ``most``
     times its source; what is over goes to the others by weight. That is one level L with
-    target = min(most * size, L * weight): with the sources in order of most * size / weight, the level with
-    the first k of them full is (all - full ones) / (weights of the rest), and the largest of these is L.
+    target = min(most * size, L * weight). Each pass over the sources sets L to what the full ones leave, shared
+    by weight, and ends when no more are full; a pass brings three sums to the driver.
     """
     rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source, as in the windows below
-    number = F.row_number().over(by_name) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights) + 1).cast("int"))
-    rows = rows.select("source", "source_size", number.cast("int").alias("source_no"), weight.alias("weight"))
-    cap = F.col("source_size") * float(most)
-    by_limit = Window.orderBy(cap / F.col("weight"), "source_no")
-    full = F.coalesce(F.sum(cap).over(by_limit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_limit.rowsBetween(0, Window.unboundedFollowing))
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("__level", (F.sum("source_size").over(everything) - full) / rest)
-    target = F.least(cap, F.max("__level").over(everything) * F.col("weight"))
-    return rows.select("source", "source_no", "source_size", target.alias("target"))
-
-
-def slots(targets: DataFrame, block: int, shard_blocks: int, most: int, seed: int) -> DataFrame:
-    """``shard``, ``slot`` (its place there), ``source_no`` and ``block`` for each block of the mix."""
+    rows = numbered(rows.select("*", F.col("source").isNull().alias("last"), F.lit(0).alias("all")), "all", ["last", "source"], "source_no")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
+    rows = kept(rows.select("source", "source_no", "source_size", weight.alias("weight")), "mix-sources")
+    cap, level, full = F.col("source_size") * float(most), 0.0, -1
+    while True:
+        reached = cap <= F.lit(level) * F.col("weight")
+        words, held, rest, n = rows.agg(
+            F.sum("source_size"), F.sum(F.when(reached, cap).otherwise(0.0)), F.sum(F.when(reached, 0.0).otherwise(F.col("weight"))),
+            F.count_if(reached),
+        ).first()
+        if not rest or n == full:
+            break
+        level, full = (words - held) / rest, n
+    return rows.select("source", "source_no", "source_size", F.least(cap, F.lit(level) * F.col("weight")).alias("target"))
+
+
+def in_parts(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``i`` from 0 to ``count`` - 1 each.
+
+    Few rows become many here: they are dealt out by how many there will be, which no estimate of Spark tells.
+    """
+    tasks = max(1, -(-(rows.agg(F.sum("count")).first()[0] or 0) // SLOTS_PER_TASK))
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / SLOTS_PER_TASK))
+    rows = rows.withColumn("part", F.explode(parts)).repartition(tasks, *keys, "part")
+    high = F.least(F.col("count"), (F.col("part") + 1) * SLOTS_PER_TASK) - 1
+    return rows.withColumn("i", F.explode(F.sequence(F.col("part") * SLOTS_PER_TASK, high))).drop("part")
+
+
+def draws(targets: DataFrame, block: int, shard_blocks: int, most: int, seed: int) -> DataFrame:
+    """``shard``, ``source_no``, ``n`` (the source's blocks) and ``count``, how many the shard takes of them.
+
+    All slots of all sources go through one pseudorandom permutation, which is cut into shards.
+    """
     blocks = F.ceil(F.col("source_size") / block)
     # a slot stands for an average block of its source
+    wanted = F.round(F.col("target") * blocks / F.col("source_size"))
     rows = targets.filter("source_size > 0").select(
-        "source_no", blocks.alias("n"), (F.col("target") * blocks / F.col("source_size")).alias("expected")
-    )
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("expected").over(everything) / shard_blocks)))
-    rows = rows.withColumn("share", F.col("expected") / F.col("shards"))
-    rows = rows.withColumn("fraction", F.col("share") - F.floor("share"))
-    rows = rows.select(
-        "source_no", "n", F.floor("share").alias("given"), "fraction",
-        F.coalesce(F.sum("fraction").over(before), F.lit(0.0)).alias("low"),
-        F.sum("fraction").over(everything).alias("draws"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard"),
-    )
-    # so many draws that their expected number is the sum of the fractions; each falls on one source
-    number = F.floor(F.col("draws") + uniform(F.lit(seed), F.col("shard"), F.lit("draws"))).cast("int")
-    hit = lambda k: uniform(F.lit(seed), F.col("shard"), k) * F.col("draws")
-    mine = F.filter(
-        F.when(number > 0, F.sequence(F.lit(1), number)).otherwise(F.array().cast("array<int>")),
-        lambda k: (hit(k) >= F.col("low")) & (hit(k) < F.col("low") + F.col("fraction")),
+        "source_no", blocks.alias("n"), F.least(blocks * most, wanted).cast("long").alias("count"), F.floor(F.col("source_no") / STRETCH).alias("stretch")
     )
-    rows = rows.select("source_no", "n", "shard", (F.col("given") + F.size(mine)).cast("long").alias("count"))
+    rows = rows.filter("count > 0")
+    total = rows.agg(F.sum("count")).first()[0] or 1
+    size = -(-total // -(-total // shard_blocks))  # of a shard; the last one may be smaller
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row per stretch
+    ahead = rows.groupBy("stretch").agg(F.sum("count").alias("slots")).select("stretch", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("stretch").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(ahead, "stretch")
+    slot = F.col("ahead") + F.col("inside") + F.col("i")
+    place = permuted(slot, F.lit(total).cast("long"), F.lit(seed), F.lit("draws"), rounds=DRAW_ROUNDS)
+    drawn = in_parts(rows, "source_no").select(F.floor(place / size).alias("shard"), "source_no", "n")
+    return drawn.groupBy("shard", "source_no").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("count"))
+
+
+def slots(counts: DataFrame, seed: int) -> DataFrame:
+    """``shard``, ``slot`` (its place there), ``source_no`` and ``block`` for each block of the mix of ``draws``."""
     own = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(
+    rows = counts.select(
         "*",
         F.coalesce(F.sum("count").over(own), F.lit(0)).alias("first"),
         F.coalesce(F.sum("count").over(inside), F.lit(0)).alias("place"),
         F.sum("count").over(Window.partitionBy("shard")).alias("size"),
-    ).filter("count > 0")
-    # few rows become many here: dealt out by how many slots there will be, which no estimate of Spark tells
-    tasks = max(1, -(-(rows.agg(F.sum("count")).first()[0] or 0) // SLOTS_PER_TASK))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / SLOTS_PER_TASK))))
-    rows = rows.repartition(tasks, "shard", "source_no", "part")
-    high = F.least(F.col("count"), (F.col("part") + 1) * SLOTS_PER_TASK) - 1
-    rows = rows.withColumn("i", F.explode(F.sequence(F.col("part") * SLOTS_PER_TASK, high)))
+    )
+    rows = in_parts(rows, "shard", "source_no")
     j = F.col("first") + F.col("i")
-    rows = rows.filter(j < F.col("n") * most).withColumn("turn", F.floor(j / F.col("n")))
+    rows = rows.withColumn("turn", F.floor(j / F.col("n")))
     key = F.lit(seed), F.col("source_no"), F.col("turn")
     return rows.select(
         "shard",
@@ -160,7 +175,8 @@ class Mix:
     """The mix of ``docs`` (``doc_id``, ``text``, ``source``), whose tables are made once.
 
     ``rows``: one row per document. ``slots()``: the blocks of each output shard in order. ``contents()``:
-    the same with the documents' words in them. ``taken()``: words taken from every document.
+    the same with the documents' words in them. ``taken()``: words taken from every document, and the first output
+    shard that holds some of them.
 
     A NULL text has no words, and a document without words is taken zero times; NULL sources are one source.
     Repeated rows are documents of their own; an empty table gives no rows; other columns are not looked at.
@@ -170,25 +186,26 @@ class Mix:
         self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS,
         shard_blocks: int = SHARD_BLOCKS, seed: int = 17,
     ):
-        self.block, self.most, self.shard_blocks, self.seed = block_words, most, shard_blocks, seed
+        self.block, self.seed = block_words, seed
         sizes = kept(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
         self.targets = kept(source_targets(sizes, weights, most), "mix-targets")
         self.rows = kept(packed(sizes, self.targets, block_words), "mix-packed")
+        self.draws = kept(draws(self.targets, block_words, shard_blocks, most, seed), "mix-draws")
 
     def slots(self) -> DataFrame:
-        return slots(self.targets, self.block, self.shard_blocks, self.most, self.seed)
+        return slots(self.draws, self.seed)
 
     def contents(self) -> DataFrame:
         return pieces(self.rows, self.block).join(self.slots().hint("merge"), ["source_no", "block"])
 
     def taken(self) -> DataFrame:
-        times = self.slots().groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
+        times = self.slots().groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
         parts = pieces(self.rows, self.block).join(times.hint("merge"), ["source_no", "block"])  # not small, whatever the estimate
         # documents with words have a start of their own in their source
-        sums = parts.groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        sums = parts.groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
         some = self.rows.filter("size > 0").join(sums, ["source_no", "start"], "left")
-        none = self.rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-        columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")]
+        none = self.rows.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_shard": F.lit(None).cast("long")})
+        columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard"]
         return some.select(*columns).unionByName(none.select(*columns))
 
 
@@ -209,4 +226,4 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 def op9_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mix(table(spark, sf_dir, "documents"))
-    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "first_shard")

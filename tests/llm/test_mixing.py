@@ -1,9 +1,11 @@
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from shipcause.llm.mixing import Mix, mix_documents, op9_block_mix, permuted
+from shipcause.llm import mixing
+from shipcause.llm.mixing import Mix, draws, mix_documents, op9_block_mix, permuted, source_targets
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -99,3 +101,48 @@ def test_mixed_documents(spark):
     for i, r in taken.items():
         if r.size:
             assert r.taken // r.size <= copies.get(i, 0) <= -(-r.taken // r.size)
+
+
+def test_counts_are_drawn(spark):
+    """A shard's count of a source is hypergeometric: its mean and variance over many seeds are those of the law."""
+    rows = [(f"s{i}", i, size, float(size)) for i, size in enumerate((32_000, 16_000, 8_000, 3_200))]
+    targets = spark.createDataFrame(rows, "source string, source_no long, source_size long, target double")
+    total, size = 1850, 185
+    found = defaultdict(list)
+    for seed in range(25):
+        counts = {(r.shard, r.source_no): r["count"] for r in draws(targets, 32, 185, 3, seed).collect()}
+        for shard in range(10):
+            assert sum(counts.get((shard, s), 0) for s in range(4)) == size
+        for s, (_, _, words, _) in enumerate(rows):
+            assert sum(counts.get((shard, s), 0) for shard in range(10)) == words // 32
+            found[s] += [counts.get((shard, s), 0) for shard in range(10)]
+    for s, (_, _, words, _) in enumerate(rows):
+        share = words / 32 / total
+        law = size * share * (1 - share) * (total - size) / (total - 1)
+        mean = sum(found[s]) / len(found[s])
+        variance = sum((x - size * share) ** 2 for x in found[s]) / len(found[s])
+        assert mean == pytest.approx(size * share) and 0.6 * law < variance < 1.6 * law
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1000)
+    docs = spark.range(100_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("site"), "id").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 90 + 1).cast("int")).alias("text")
+    )
+    rows = Mix(docs, shard_blocks=4096).taken().agg(F.count(F.lit(1)), F.max(F.col("taken") - 3 * F.col("size")), F.max(F.abs(F.col("taken") - F.col("target")))).first()
+    assert rows[0] == 100_000 and rows[1] <= 0 and rows[2] <= 64
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 4096])
+def test_stretches_and_targets(spark, monkeypatch, stretch):
+    monkeypatch.setattr(mixing, "STRETCH", stretch)
+    sizes = {**{f"s{i}": 37 * (i * i % 19) for i in range(23)}, None: 500, "": 3}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = source_targets(df)
+    want = targets(sizes)
+    assert all(r.target == pytest.approx(want[r.source]) for r in got.collect())
+    counts = draws(got, 8, 64, 3, 5).collect()
+    slots = defaultdict(int)
+    for r in counts:
+        slots[r.shard] += r["count"]
+    assert len(set(list(slots.values())[:-1])) <= 2 and max(slots.values()) <= 64 and sorted(slots) == list(range(len(slots)))
