@@ -8,12 +8,14 @@ vectors are ranked by their exact distance, and the shards' answers are merged.
 
 Equal vectors are one node that stands for the smallest ids among them, so copies cost nothing and ties come out
 right.
+
+All distances are in double precision, of vectors scaled by a power of two so that no square leaves its range:
+vectors of any size, or with a large common offset, are told apart as long as doubles do. Only where sizes within
+one table differ by factors beyond 1e150 may neighbours be missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +24,10 @@ from pyspark.sql.window import Window
 
 from shipcause.llm.common import kept, ship_package, table
 
-SHARD_VECTORS, BLOCK_QUERIES = 2048, 256
+#: Vectors of a shard; queries that one copy of a shard's graph is sent for, and those searched at once.
+SHARD_VECTORS, SENT_QUERIES, BLOCK_QUERIES = 16_384, 4096, 256
 #: Edges kept when pruning and allowed before the next pruning; beams when building and searching.
-DEGREE, SLACK, BUILD_BEAM, SEARCH_BEAM = 32, 48, 64, 96
+DEGREE, SLACK, BUILD_BEAM, SEARCH_BEAM = 32, 48, 64, 192
 ALPHA = 1.2
 #: Vectors expanded at a time per search.
 WIDTH = 4
@@ -33,6 +36,22 @@ WIDTH = 4
 # ---- one shard's graph, inside a task -----------------------------------------------
 
 
+def exponent(x: np.ndarray) -> int:
+    """Of the power of two that brings all of ``x`` within -1 and 1."""
+    return int(np.frexp(np.abs(x).max(initial=0.0))[1])
+
+
+def distances(x: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Euclidean distances of ``point`` to the rows of ``x``; those whose squares leave the range are scaled first."""
+    difference = x - point
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt((difference**2).sum(axis=1))
+    for i in np.flatnonzero(~np.isfinite(out) | (out < 1e-150)):
+        e = exponent(difference[i])
+        out[i] = np.ldexp(np.sqrt((np.ldexp(difference[i], -e) ** 2).sum()), e)
+    return out
+
+
 def beam_search(x: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, list]:
     """Nodes found for each query, nearest first, with squared distances, and all nodes expanded on the way.
 
@@ -41,7 +60,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarra
     b = len(queries)
     rows = np.arange(b)[:, None]
     found = np.full((b, beam), -1, np.int32)
-    far = np.full((b, beam), np.inf, np.float32)
+    far = np.full((b, beam), np.inf, x.dtype)
     done = np.ones((b, beam), bool)
     seen = np.zeros((b, len(x) + 1), bool)  # the last column takes the places that are not used
     seen[:, -1] = seen[:, start] = True
@@ -58,7 +77,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarra
         new[:, 1:][new[:, 1:] == new[:, :-1]] = -1  # met under two nodes at once
         new[seen[rows, new]] = -1
         seen[rows, new] = True
-        d = np.full(new.shape, np.inf, np.float32)
+        d = np.full(new.shape, np.inf, x.dtype)
         r, c = np.nonzero(new >= 0)
         d[r, c] = ((x[new[r, c]] - queries[r]) ** 2).sum(axis=1)
         all_far = np.concatenate([far, d], axis=1)
@@ -73,12 +92,11 @@ def robust_prune(x: np.ndarray, point: int, candidates: np.ndarray) -> np.ndarra
     """At most DEGREE of the candidates: the nearest first, then those it does not shield."""
     candidates = np.unique(candidates)
     candidates = candidates[(candidates >= 0) & (candidates != point)]
-    own = ((x[candidates] - x[point]) ** 2).sum(axis=1)
+    v = x[candidates] - x[point]  # from the point itself, so a common offset costs no digits below
+    own = (v * v).sum(axis=1)
     order = np.argsort(own, kind="stable")
-    candidates, own = candidates[order], own[order]
-    v = x[candidates]
-    squares = (v * v).sum(axis=1)
-    between = squares[:, None] + squares[None, :] - 2 * v @ v.T
+    candidates, own, v = candidates[order], own[order], v[order]
+    between = own[:, None] + own[None, :] - 2 * v @ v.T
     open_ = np.ones(len(candidates), bool)
     chosen: list[int] = []
     for i in range(len(candidates)):
@@ -91,9 +109,9 @@ def robust_prune(x: np.ndarray, point: int, candidates: np.ndarray) -> np.ndarra
 
 
 def build_graph(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """Edges and start node of a graph over ``x`` (float32, distinct rows)."""
+    """Edges and start node of a graph over ``x`` (distinct rows)."""
     n = len(x)
-    start = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
+    start = int(((x - np.median(x, axis=0)) ** 2).sum(axis=1).argmin())
     edges = np.full((n, SLACK), -1, np.int32)
     degree = np.zeros(n, np.int32)
     order = np.random.default_rng(n).permutation(n)
@@ -146,7 +164,7 @@ def build_index(vectors: DataFrame, ids_kept: int, shard_vectors: int = SHARD_VE
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(part["v"].to_numpy())
-        edges, start = build_graph(x.astype(np.float32))
+        edges, start = build_graph(np.ldexp(x, -exponent(x)))
         ends = np.cumsum([len(i) for i in part["ids"]])
         ids = np.concatenate(part["ids"].to_numpy()).astype(np.int64)
         blobs = [a.tobytes() for a in (x, edges, ids, ends.astype(np.int64))]
@@ -160,38 +178,40 @@ def build_index(vectors: DataFrame, ids_kept: int, shard_vectors: int = SHARD_VE
 def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int) -> DataFrame:
     """``query_id``, ``vec_id`` and ``score`` of the k nearest per query and shard.
 
-    Queries go in blocks to every shard: a task holds one shard and one block at a time.
+    Queries go in blocks to every shard: a group is one shard and one block of queries, a few megabytes each.
     """
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    blocks = max(1, -(-queries.count() // SENT_QUERIES))
     sent = (
         queries.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
         .agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("v")).alias("q"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     )
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                x = np.frombuffer(row.x, np.float64).reshape(-1, row.dim)
-                edges = np.frombuffer(row.edges, np.int32).reshape(len(x), -1)
-                ids, ends = np.frombuffer(row.ids, np.int64), np.frombuffer(row.ends, np.int64)
-                q = np.asarray(row.q, np.float64).reshape(-1, row.dim)
-                found, _, _ = beam_search(x.astype(np.float32), edges, row.start, q.astype(np.float32), SEARCH_BEAM)
-                out = []
-                for query_id, vector, nodes in zip(row.query_ids, q, found, strict=True):
-                    nodes = nodes[nodes >= 0]
-                    score = np.sqrt(((x[nodes] - vector) ** 2).sum(axis=1))
-                    hits = []
-                    for i in np.argsort(score, kind="stable"):
-                        if len(hits) > k and score[i] > hits[-1][2]:
-                            break  # ties with the last one stay in
-                        mine = ids[ends[nodes[i] - 1] if nodes[i] else 0 : ends[nodes[i]]]
-                        hits.extend((query_id, v, score[i]) for v in mine.tolist() if v != query_id)
-                    out.extend(sorted(hits, key=lambda h: (h[2], h[1]))[:k])
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+    def search(pair: pd.DataFrame) -> pd.DataFrame:
+        row = pair.iloc[0]
+        x = np.frombuffer(row.x, np.float64).reshape(-1, row.dim)
+        edges = np.frombuffer(row.edges, np.int32).reshape(len(x), -1)
+        ids, ends = np.frombuffer(row.ids, np.int64), np.frombuffer(row.ends, np.int64)
+        q = np.asarray(row.q, np.float64).reshape(-1, row.dim)
+        e = exponent(x)
+        scaled, scaled_q = np.ldexp(x, -e), np.ldexp(q, -e)
+        out = []
+        for at in range(0, len(q), BLOCK_QUERIES):
+            found, _, _ = beam_search(scaled, edges, int(row.start), scaled_q[at : at + BLOCK_QUERIES], SEARCH_BEAM)
+            for query_id, vector, nodes in zip(row.query_ids[at:], q[at:], found, strict=False):
+                nodes = nodes[nodes >= 0]
+                score = distances(x[nodes], vector)
+                hits = []
+                for i in np.argsort(score, kind="stable"):
+                    if len(hits) > k and score[i] > hits[-1][2]:
+                        break  # ties with the last one stay in
+                    mine = ids[ends[nodes[i] - 1] if nodes[i] else 0 : ends[nodes[i]]]
+                    hits.extend((query_id, v, score[i]) for v in mine.tolist() if v != query_id)
+                out.extend(sorted(hits, key=lambda h: (h[2], h[1]))[:k])
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     pairs = sent.join(index.hint("merge"), ["dim", "shard"])
-    return pairs.mapInPandas(search, "query_id bigint, vec_id bigint, score double")
+    return pairs.groupBy("dim", "shard", "block").applyInPandas(search, "query_id bigint, vec_id bigint, score double")
 
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:

@@ -86,3 +86,27 @@ def test_pruned_edges_are_diverse():
                 seen.add(j)
                 todo.append(j)
     assert len(seen) == 500  # everything can be reached
+
+
+@pytest.mark.parametrize("factor,offset", [(1e25, 0.0), (1e-25, 0.0), (1.0, 1e6), (1e160, 0.0), (1e-160, 0.0)])
+def test_sizes_and_offsets_of_vectors(spark, monkeypatch, factor, offset):
+    monkeypatch.setattr(ann_graph, "SHARD_VECTORS", 400)
+    monkeypatch.setattr(ann_graph, "SENT_QUERIES", 7)
+    monkeypatch.setattr(ann_graph, "BLOCK_QUERIES", 4)
+    x = np.random.default_rng(5).normal(size=(1500, 24)) * factor + offset
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found(nearest(df, F.col("vec_id") % 100 == 0))
+    plain = (x - offset) / factor
+    want = exact(list(enumerate(plain.tolist())), range(0, 1500, 100))
+    assert got.keys() == want.keys() and recall(got, want) >= 0.95
+    for q, hits in got.items():
+        for i, score in hits:
+            assert score == pytest.approx(np.sqrt(((plain[i] - plain[q]) ** 2).sum()) * factor, rel=1e-6)
+
+
+def test_large_and_small_vectors_together(spark):
+    random = np.random.default_rng(6)
+    x = np.concatenate([random.normal(size=(400, 8)) * 1e25, random.normal(size=(400, 8)), random.normal(size=(400, 8)) * 1e-25])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found(nearest(df, F.col("vec_id") % 100 == 0))
+    assert recall(got, exact(list(enumerate(x.tolist())), range(0, 800, 100))) >= 0.9
