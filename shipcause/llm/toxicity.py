@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A text is cut into clauses, and each word of a clause becomes a symbol: insult, threat, target, negation,
-reporting verb or other. Small transducers read the symbols: one counts insults, one threats that reach a target,
-one raises what a target stands next to, one lowers what is negated shortly before, one what is only reported.
-Their composition is one transducer over the product of their states, and what it adds up over a clause is
-the clause's weight. A document's score is a logistic curve over the weights of its matched clauses.
+A text is cut into sentences, and each word becomes a symbol: insult, threat, target, negation, reporting verb or
+other; commas and quotation marks are symbols too. Small transducers read the symbols: one counts insults, one
+threats that reach a target, one raises what a target stands next to, one lowers what is negated shortly before, one
+what is only reported. Their composition is one transducer over the product of their states. A comma, which ends what
+negations and targets reach, ends a clause, and what the transducer adds up over a clause is the clause's weight; a
+report goes on to the end of the sentence. One that stands at its end ('"...", he said') is found by a small machine
+that reads backwards, and then the sentence is read as if the report came first. A document's score is a logistic
+curve over the weights of its matched clauses.
 
 Insults are a short fixed list and words and word beginnings learned from labelled documents: a beginning counts
 as much as it is likelier in toxic documents than in others, at the lower end of its confidence range.
@@ -15,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,20 +39,45 @@ INSULTS = [
     "clown", "creep", "disgusting", "dumb", "filth", "fool", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "scum",
     "stupid", "trash", "vermin", "worthless",
 ]
-THREATS = ["attack", "beat", "burn", "crush", "destroy", "hurt", "kill", "murder", "shoot", "smash", "stab"]
+THREATS = [
+    "attack", "beat", "burn", "butcher", "choke", "crush", "destroy", "hurt", "kill", "murder", "shoot", "slaughter", "smash", "stab",
+    "strangle",
+]
 TARGETS = [
     "you", "your", "yours", "he", "she", "they", "them", "him", "her", "du", "dich", "dir", "euch", "tu", "toi", "vous", "ils",
     "usted", "ustedes", "ellos",
 ]
-NEGATIONS = ["not", "no", "never", "neither", "nor", "without", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "sin"]
-REPORTS = ["said", "says", "called", "told", "quoted", "wrote", "claimed", "reportedly", "sagte", "nannte", "dit", "dijo"]
+NEGATIONS = [
+    "not", "no", "never", "neither", "nor", "without", "cannot", "arent", "cant", "dont", "doesnt", "isnt", "wasnt", "werent", "wont",
+    "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "sin",
+]
+REPORTS = [
+    "said", "says", "called", "calls", "told", "tells", "quoted", "wrote", "writes", "claimed", "replied", "shouted", "yelled",
+    "reportedly", "sagte", "nannte", "dit", "dijo",
+]
 
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE_END = re.compile(r"[.!?;:,\n\r|]+")
+#: Words, those with 't as one; commas and colons, and ends of sentences within a quotation; quotation marks.
+TOKEN = re.compile(r"[^\W\d_]+(?:['’]t(?![^\W_]))?|[,:.!?;]+|[\"“”„«»]+")
+QUOTES = "\"“”„«»"
+SENTENCE_END = re.compile(r"[.!?;\n\r|]+(?![.!?;\n\r|\"”»])")
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
-SYMBOLS = [INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER]
-CLASSES = {w: s for s, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
+COMMA, QUOTE = "comma", "quote"
+SYMBOLS = [INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, COMMA, QUOTE]
+
+
+def inflected(verb: str) -> list[str]:
+    """The verb, its third person and its -ing form."""
+    third = verb + ("es" if verb.endswith(("s", "x", "z", "ch", "sh")) else "s")
+    if verb.endswith("e"):
+        return [verb, third, f"{verb[:-1]}ing"]
+    doubled = re.fullmatch(r"[^aeiou]+[aeiou][^aeiouwxy]", verb)
+    return [verb, third, f"{verb}{verb[-1] if doubled else ''}ing"]
+
+
+THREAT_FORMS = [form for verb in THREATS for form in inflected(verb)]
+CLASSES = {w: s for s, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREAT_FORMS)) for w in words}
 
 
 # ---- transducers ----------------------------------------------------------------
@@ -82,21 +110,48 @@ def compose(*machines: Arcs) -> Arcs:
     return arcs
 
 
+def one_on(q: int, s: str) -> int:
+    """How far something still reaches after symbol ``s``: a comma ends it, quotation marks are not counted."""
+    return 0 if s == COMMA else q if s == QUOTE else max(q - 1, 0)
+
+
 def within(reach: int, trigger: str, inside: float) -> Arcs:
-    """``inside`` is the factor on insults and threats up to ``reach`` words after ``trigger``."""
+    """``inside`` is the factor on insults and threats up to ``reach`` words after ``trigger`` in its clause."""
 
     def arc(q: int, s: str) -> tuple[int, float, float]:
-        return reach if s == trigger else max(q - 1, 0), inside if q and s in (INSULT, THREAT) else 1.0, 0.0
+        return reach if s == trigger else one_on(q, s), inside if q and s in (INSULT, THREAT) else 1.0, 0.0
 
     return transducer(reach + 1, arc)
 
 
-def grammar() -> Arcs:
+def machines() -> list[Arcs]:
     insult = transducer(1, lambda q, s: (0, 1.0 if s in (INSULT, THREAT) else 0.0, 0.0))
     # a threat alone weighs nothing; one that reaches a target within five words does
-    threat = transducer(6, lambda q, s: (5 if s == THREAT else 0 if s == TARGET else max(q - 1, 0), 0.0 if s == THREAT else 1.0, FIXED_WEIGHT if q and s == TARGET else 0.0))
+    threat = transducer(6, lambda q, s: (5 if s == THREAT else 0 if s == TARGET else one_on(q, s), 0.0 if s == THREAT else 1.0, FIXED_WEIGHT if q and s == TARGET else 0.0))
     reported = transducer(2, lambda q, s: (1 if s == REPORT else q, 0.5 if q else 1.0, 0.0))
-    return compose(insult, threat, within(4, TARGET, 1.5), within(3, NEGATION, 0.3), reported)
+    return [insult, threat, within(4, TARGET, 1.5), within(3, NEGATION, 0.3), reported]
+
+
+def grammar() -> Arcs:
+    return compose(*machines())
+
+
+def trailing_report(symbols: Sequence[str]) -> bool:
+    """Whether a sentence ends in a report of what stands before it.
+
+    Read backwards: at most two words, the verb, at most three words of who speaks, a comma or quotation mark.
+    """
+    state = 0  # words before the verb; from 3 on, words after it
+    for s in reversed(symbols):
+        if s in (COMMA, QUOTE):
+            return state >= 3
+        if s == REPORT and state < 3:
+            state = 3
+        elif s in (INSULT, THREAT) or state in (2, 6):
+            return False
+        else:
+            state += 1
+    return False
 
 
 # ---- texts ----------------------------------------------------------------------
@@ -114,7 +169,7 @@ class Lexicon:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for entry in [*self.weights, *(f"{t}$" for t in THREATS)]:
+        for entry in [*self.weights, *(f"{t}$" for t in THREAT_FORMS)]:
             word = entry.removesuffix("$")
             self.automaton.add_word(word, word)
         self.automaton.make_automaton()
@@ -128,6 +183,15 @@ class Lexicon:
         own = self.weights.get(f"{word}$", 0.0)
         return max([own, *(self.weights.get(word[:n], 0.0) for n in self.lengths if n <= len(word))])
 
+    def symbol(self, token: str) -> tuple[str, float]:
+        """What the grammar reads for a token, and its weight."""
+        if token[0].isalpha():
+            if token[-2:] in ("'t", "’t"):
+                return NEGATION, 0.0
+            weight = self.weight(token)
+            return (INSULT if weight else CLASSES.get(token, OTHER)), weight
+        return (QUOTE if token[0] in QUOTES else COMMA), 0.0
+
     def clauses(self, text: str) -> list[float]:
         """Weights of the clauses of a lower-case text in which something matched."""
         hits = []
@@ -137,18 +201,21 @@ class Lexicon:
                 hits.append(start + 1)
         if not hits:
             return []
-        ends = [m.start() for m in CLAUSE_END.finditer(text)]
+        ends = [m.start() for m in SENTENCE_END.finditer(text)]
         found = []
         for k in sorted({bisect_left(ends, h) for h in hits}):
-            clause = text[ends[k - 1] + 1 if k else 0 : ends[k] if k < len(ends) else len(text)]
-            state = total = 0
-            for word in WORD.findall(clause):
-                weight = self.weight(word)
-                symbol = INSULT if weight else CLASSES.get(word, OTHER)
+            sentence = text[ends[k - 1] + 1 if k else 0 : ends[k] if k < len(ends) else len(text)]
+            read = [self.symbol(t) for t in TOKEN.findall(sentence)]
+            state, total = 0, 0.0
+            if trailing_report([s for s, _ in read]):
+                state = self.arcs[state, REPORT][0]
+            for symbol, weight in [*read, (COMMA, 0.0)]:
                 state, factor, added = self.arcs[state, symbol]
                 total += weight * factor + added
-            if total > 0:
-                found.append(total)
+                if symbol == COMMA:
+                    if total > 0:
+                        found.append(total)
+                    total = 0.0
         return found
 
     def features(self, text: str) -> list[float]:

@@ -1,9 +1,13 @@
+import math
+import random
 from zlib import crc32
 
 import pytest
 from pyspark.sql import functions as F
 
-from shipcause.llm.toxicity import FIXED_WEIGHT, Lexicon, drop_toxic, fit, fitted, op1_clause_toxicity, toxicity_scores
+from shipcause.llm.toxicity import (
+    FIXED_WEIGHT, SYMBOLS, Lexicon, drop_toxic, fit, fitted, grammar, inflected, machines, op1_clause_toxicity, toxicity_scores,
+)
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -32,6 +36,43 @@ def test_negation_ends_with_its_clause_and_reach(lexicon):
     assert lexicon.clauses("not that it would matter idiot") == [3.0]
 
 
+def test_quoted_and_reported_speech(lexicon):
+    one = lexicon.clauses
+    for text in (
+        "he said, you are an idiot", 'he said: "you are an idiot"', '"you are an idiot", he said', '"you are an idiot!" he said.',
+        "“you are an idiot”, the old man told us", "you are an idiot, she wrote yesterday",
+    ):
+        assert one(text) == [pytest.approx(2.25)], text
+    assert one('you are an "idiot"') == [4.5] and one('not an "idiot"') == [pytest.approx(0.9)]
+    assert one("he said so. you are an idiot") == [4.5]  # a report ends with its sentence
+    assert one('"fine", he said. "you are an idiot"') == [4.5]
+    assert one("you are an idiot, she called the whole police force") == [4.5]
+    assert one('he said "you are an idiot", she said') == [pytest.approx(2.25)]  # not lowered twice
+    assert one("he said, idiot, idiot") == [1.5, 1.5]
+
+
+def test_contractions_and_inflected_threats(lexicon):
+    one = lexicon.clauses
+    assert one("you aren't an idiot") == one("you aren’t an idiot") == [pytest.approx(1.35)]
+    assert one("isn't an idiot") == one("isnt an idiot") == [pytest.approx(0.9)]
+    assert one("the idiot's hat") == [3.0] and one("you're an idiot") == [4.5]
+    assert one("he kills you") == one("killing you") == one("kill you") == one("choking you slowly") == [FIXED_WEIGHT]
+    assert one("stabbing, you") == one("killing time") == []
+    assert inflected("stab") == ["stab", "stabs", "stabbing"] and inflected("crush")[1:] == ["crushes", "crushing"]
+    assert inflected("beat")[2] == "beating" and inflected("murder")[2] == "murdering" and inflected("strangle")[2] == "strangling"
+
+
+def test_composition_equals_its_machines():
+    r, whole, parts = random.Random(3), grammar(), machines()
+    for _ in range(300):
+        state, states = 0, [0] * len(parts)
+        for s in r.choices(SYMBOLS, k=30):
+            state, factor, added = whole[state, s]
+            steps = [m[q, s] for m, q in zip(parts, states, strict=True)]
+            states = [x[0] for x in steps]
+            assert factor == pytest.approx(math.prod(x[1] for x in steps)) and added == pytest.approx(sum(x[2] for x in steps))
+
+
 def test_composition_is_small(lexicon):
     states = {q for q, _ in lexicon.arcs}
     assert states == set(range(len(states))) and len(states) <= 6 * 5 * 4 * 2
