@@ -1,7 +1,9 @@
+import math
 from collections import Counter
 from zlib import crc32
 
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from shipcause.llm.rendezvous import op5_rendezvous_shards, rendezvous_shard, shard_documents
 
@@ -50,3 +52,23 @@ def test_weights_and_moves(spark):
     assert abs(share(0, 1) - 0.5) < 0.02 and abs(share(1, 3) - 0.5) < 0.02 and abs(share(1, 0) - 0.125) < 0.02
     assert all(more in (old, 3) for old, more, _ in n)  # only the new shard gains
     assert all(less == old for old, _, less in n if old != 1)  # only the lost shard's records move
+
+
+def winner(key, weights):
+    """The definition: of all shards' bids, made from the hash of key and shard, the highest."""
+
+    def bid(shard):
+        start = 42 if key is None else xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        h = xxh64_intdigest(shard.to_bytes(4, "little"), start)
+        return weights[shard] / -math.log(((h >> 11) + 0.5) / 2**53)
+
+    return max(weights, key=bid)
+
+
+def test_shards_by_definition(spark, odd_docs):
+    old, grown = dict.fromkeys(range(24), 1.0), dict.fromkeys(range(25), 1.0)
+    for rows in (op5_rendezvous_shards(spark, FOLDER).collect(), shard_documents(odd_docs).collect()):
+        assert rows and all((r.shard, r.grown_shard) == (winner(r.doc_id, old), winner(r.doc_id, grown)) for r in rows)
+    weights = {0: 1.0, 3: 2.5, 7: 0.5}
+    rows = spark.range(2000).select("id", rendezvous_shard(F.col("id"), weights).alias("shard")).collect()
+    assert all(r["shard"] == winner(r["id"], weights) for r in rows)
