@@ -73,3 +73,61 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_one_label_only(spark, odd_docs):
     one = odd_docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("y"))
     assert fit(one).score(ngrams("anything", Shapes())) > 0.9
+
+
+def plain_ngrams(text):
+    """n-grams by the definition, one character at a time."""
+
+    def plain_shape(token):
+        out, i = "", 0
+        while i < len(token):
+            j = i + 1
+            if token[i].isalpha():
+                while j < len(token) and token[j].isalpha():
+                    j += 1
+                run = token[i:j]
+                out += "X" if run.isupper() else "Xx" if run[0].isupper() else "x"
+            elif token[i].isdigit():
+                while j < len(token) and token[j].isdigit():
+                    j += 1
+                out += "9"
+            else:
+                while j < len(token) and token[j] == token[i]:
+                    j += 1
+                out += token[i] * min(j - i, 2) if token[i] != "_" else token[i:j]
+            i = j
+        return out
+
+    tokens, shapes = text.split(), []
+    for before, token in zip([None, *tokens], tokens, strict=False):
+        whole = "=" if token == before else plain_shape(token)
+        shapes += [whole[i : i + 12] for i in range(0, len(whole), 12)]
+    runs = {tuple(shapes[i : i + n]) for n in (1, 2, 3) for i in range(len(shapes) - n + 1)}
+    return runs | {t.lower() for t in tokens}
+
+
+def test_whole_score_by_brute_force(spark):
+    """Ratios, margins and every score, from n-grams counted anew over whole texts; the optimum is tested above."""
+    sample = labelled_sample(spark, FOLDER, "quality", 150)
+    model = fit(sample)
+    rows = [(plain_ngrams(r.text), r.y) for r in sample.collect()]
+    total = [sum(y == k for _, y in rows) for k in (0, 1)]
+    assert min(total) > 5
+    count = {}
+    for grams, y in rows:
+        for g in grams:
+            count.setdefault(g, [0, 0])[y] += 1
+    ratio = {g: np.log((n1 + 1) / (total[1] + 2)) - np.log((n0 + 1) / (total[0] + 2)) for g, (n0, n1) in count.items() if n0 + n1 >= 4}
+    assert 100 < len(ratio) < 40_000 and model.weights.keys() <= ratio.keys()
+    names = sorted((g for g in ratio if ratio[g]), key=str)
+    x = np.array([[ratio[g] * (g in grams) for g in names] + [1.0] for grams, _ in rows])
+    y = np.array([2.0 * y - 1 for _, y in rows])
+    w = np.array([model.weights.get(g, 0.0) / ratio[g] for g in names] + [model.bias])
+    assert (y * (x @ w)).min() >= 1 - 0.05  # separable; the fit stops when no margin is short by more than its tolerance
+    assert w @ w < 1  # of all machines with such margins one of the flattest: few n-grams would need far larger weights
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality_scores(docs, model).collect():
+        margin = model.bias + sum(model.weights.get(g, 0.0) for g in plain_ngrams(texts[r.doc_id]))
+        score = 1 / (1 + np.exp(-(model.slope * margin + model.offset)))
+        assert abs(r.score - score) < 1e-9 and r.predicted == (r.score >= 0.3)
