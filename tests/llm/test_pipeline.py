@@ -57,3 +57,16 @@ def test_entry_needs_no_session():
     code = "import __spark_entry__ as e; assert 'pipeline' in e.queries() and 'op8_minhash_join' in e.oracle_sql()"
     top = Path(corpus_pipeline.__file__).parent
     subprocess.run([sys.executable, "-c", code], cwd=top, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_and_no_documents(spark, odd_docs, no_docs, stage):
+    """NULLs, empty and long texts, repeated rows and clashing columns go through every stage, as do no rows."""
+    ids = {r.doc_id for r in odd_docs.collect()}
+    out = stage(spark, odd_docs, FOLDER)
+    if stage is not corpus_pipeline.encoded:
+        assert out.columns == odd_docs.columns and stage(spark, no_docs, FOLDER).columns == odd_docs.columns
+    else:
+        assert out.count() == odd_docs.count()
+    assert {r.doc_id for r in out.collect()} <= ids
+    assert stage(spark, no_docs, FOLDER).collect() == []
