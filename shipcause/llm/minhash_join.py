@@ -10,9 +10,15 @@
 4. What is asked for are the components of the graph of links. So a long list is not multiplied out: first all
    its members are compared with one of them, in the next rounds members that are not connected yet with others
    of them, and only at last the rest with every member of the list outside their own component.
+5. Where that rest is long (pages of one template, alike but not enough), its members meet in lists of rare
+   shingles instead. If the smaller of two similar sets has n shingles, they have 2s/(1+s) of n in common, and
+   the larger one has s of its own: in one order of all shingles, rare ones first, the first common one stands
+   among the first (1-s)/(1+s) of the smaller set and the first 1-s of the larger one. Two pages that fall short
+   of s by their own words have more of these than the smaller one's part, so they never meet.
 
 A link is missed only if its collisions fall below the threshold (odds MISS at exactly the limit, far less
-above it); none is dropped for the length of a list or the number of partners.
+above it); none is dropped for the length of a list or the number of partners. On request step 5 takes all
+classes and no threshold, which misses nothing.
 """
 
 from __future__ import annotations
@@ -38,6 +44,10 @@ WORDS = [f"s{i}" for i in range(COUNTED // PER_WORD)]
 FINE_WORDS = [f"f{i}" for i in range(FINE // PER_WORD)]
 MISS = 1e-6
 HUB_ROUNDS = 3
+#: Up to so many members outside a list's largest component meet the whole list; more meet by rare shingles.
+LONG_LIST = 64
+#: Buckets in which shingles are counted to tell rare from common ones; a power of two, eight bytes each.
+BUCKETS = 1 << 18
 #: Id lists up to this length (8 bytes each) are broadcast; longer ones are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 REMEMBERED_WORDS = 200_000
@@ -140,6 +150,40 @@ def fine_bytes(sets: DataFrame) -> DataFrame:
     return sets.select("cid", "shingles").mapInPandas(run, "cid bigint, " + ", ".join(f"{w} bigint" for w in FINE_WORDS))
 
 
+def crowds(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` fall in each of BUCKETS buckets, so in all those of a common one."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), ROWS_PER_BATCH):
+                each = np.concatenate(batch["shingles"].iloc[at : at + ROWS_PER_BATCH].to_numpy())
+                n += np.bincount(each & (BUCKETS - 1), minlength=BUCKETS)
+        full = np.flatnonzero(n)
+        yield pd.DataFrame({"bucket": full, "n": n[full]})
+
+    found = sets.select("shingles").mapInPandas(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(BUCKETS, np.int64)
+    for bucket, n in found.collect():  # at most BUCKETS rows
+        out[bucket] = n
+    return out
+
+
+def rare_shingles(sets: DataFrame, crowd: np.ndarray, percent: int) -> DataFrame:
+    """``cid``, ``n``, ``token``, ``short``: the rarest 1-s of each set's ``n`` shingles, rarity by ``crowd`` and
+    then by value; ``short`` marks those that it also shows as the smaller one of two."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for cid, shingles in batch.itertuples(index=False):
+                n = len(shingles)
+                as_larger, as_smaller = n + 1 - -(-percent * n // 100), n + 1 - -(-2 * percent * n // (100 + percent))
+                first = np.lexsort((shingles, crowd[shingles & (BUCKETS - 1)]))[: min(n, as_larger)]
+                yield pd.DataFrame({"cid": cid, "n": n, "token": shingles[first], "short": np.arange(len(first)) < as_smaller})
+
+    return sets.select("cid", "shingles").mapInPandas(run, "cid bigint, n bigint, token bigint, short boolean")
+
+
 def threshold(coordinates: int, percent: int, miss: float = MISS) -> int:
     """The most matches that two sets at exactly ``percent`` similarity reach but for odds of ``miss``."""
     s, below, t = percent / 100, 0.0, 0
@@ -169,8 +213,8 @@ def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 class NearDuplicates:
     """The search over one table of documents; see the module's text."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.docs, self.width, self.percent = docs, width, percent
+    def __init__(self, docs: DataFrame, width: int, percent: int, exact: bool = False):
+        self.docs, self.width, self.percent, self.exact = docs, width, percent, exact
         self.least, self.least_posted = threshold(COUNTED, percent), threshold(POSTED, percent)
         self.least_of_all = threshold(COUNTED + FINE, percent)
         self.profiles = kept(profiles(docs, width), "profiles")
@@ -179,7 +223,7 @@ class NearDuplicates:
         heads = usable.join(self.classes, (usable["key"] == self.classes["key"]) & (usable["doc_id"] == self.classes["cid"]))
         self.heads = kept(heads.select("cid", "n_shingles", "posted", *WORDS), "heads")
         self.postings = kept(self._postings(), "postings")
-        involved = kept(self.postings.select("cid").distinct(), "involved")
+        involved = kept((self.classes if exact else self.postings).select("cid").distinct(), "involved")
         texts = only(docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")), "doc_id", involved)
         self.sets = kept(shingle_sets(texts, width), "sets")
         self.counted = kept(only(self.heads, "cid", involved).drop("posted"), "counted")
@@ -229,6 +273,12 @@ class NearDuplicates:
         moved = at.join(found, at["component"] == found["node"], "left")
         self.components = kept(moved.select("cid", F.coalesce(found["component"], at["component"]).alias("component")), "components")
 
+    def compare(self, pairs: DataFrame) -> None:
+        """Count the collisions of ``pairs`` (``a`` < ``b``), confirm those with enough and merge their components."""
+        a, b = self.counted.alias("x"), self.counted.alias("y")
+        near = pairs.join(a.hint("merge"), F.col("a") == F.col("x.cid")).join(b.hint("merge"), F.col("b") == F.col("y.cid"))
+        self.merge(self.confirmed(near.filter(self.alike("x", "y")).select("a", "b")))
+
     def hub_round(self, number: int) -> None:
         """Compare the members of each list with one of them: the smallest at first, others by a hash later."""
         located = self.located()
@@ -238,26 +288,30 @@ class NearDuplicates:
             F.min("component").alias("low"), F.max("component").alias("high"),
         ).filter("low < high").drop("low", "high")
         met = located.join(hubs.hint("merge"), "token").filter("component <> hub_component")
-        pairs = met.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
-        a, b = self.counted.alias("x"), self.counted.alias("y")
-        near = pairs.join(a.hint("merge"), F.col("a") == F.col("x.cid")).join(b.hint("merge"), F.col("b") == F.col("y.cid"))
-        self.merge(self.confirmed(near.filter(self.alike("x", "y")).select("a", "b")))
+        self.compare(met.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct())
 
     def last_round(self) -> None:
         """Compare all members of each list that are outside its largest component with all of the list."""
         located = self.located()
         parts = located.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
         main = parts.groupBy("token").agg(
-            F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
-        ).filter("parts > 1").select("token", "main")
+            F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"),
+            (F.sum("n") - F.max("n")).alias("outside"),
+        ).filter("parts > 1").select("token", "main", (F.col("outside") > LONG_LIST).alias("long"))
+        main = kept(main, "lists")
+        crowded = kept(located.join(main.filter("long").hint("merge"), "token").select("cid").distinct(), "crowded")
+        if not crowded.isEmpty():
+            self.compare(self.meet_by_shingles(crowded))
+            located = self.located()
         tokens = self.postings.groupBy("cid").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-        left = located.join(main.hint("merge"), "token")
+        left = located.join(main.filter("not long").hint("merge"), "token")
         fine = fine_bytes(only(self.sets, "cid", kept(left.select("cid").distinct(), "left")))
         rows = kept(
             left.join(self.counted.hint("merge"), "cid").join(fine.hint("merge"), "cid").join(tokens.hint("merge"), "cid"), "rest"
         )
         x, y = rows.filter("component <> main").alias("x"), rows.alias("y")
-        # two outside the largest component meet once, and each pair only under the first token they share
+        # two outside the largest component meet once, and each pair only under the first token they share; if
+        # that one's list is long, they met by their shingles
         once = (F.col("y.component") == F.col("y.main")) | (F.col("x.cid") < F.col("y.cid"))
         close = collisions("x", "y", WORDS + FINE_WORDS) >= self.least_of_all
         first = F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token")
@@ -267,11 +321,36 @@ class NearDuplicates:
         )
         self.merge(self.confirmed(met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))))
 
+    def meet_by_shingles(self, members: DataFrame) -> DataFrame:
+        """``a`` and ``b`` of all pairs of ``members`` (``cid``) in different components that may be similar enough."""
+        sets = only(self.sets, "cid", members)
+        rows = rare_shingles(sets, crowds(sets), self.percent)
+        rows = kept(rows.join(self.components.hint("merge"), "cid"), "rare")
+        some = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("short").alias("short"))
+        some = some.filter("low < high and short").select("token")
+        rows = rows.join(some.hint("merge"), "token", "left_semi")
+        parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = parts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        rows = kept(rows.join(main.hint("merge"), "token").withColumn("inside", F.col("component") == F.col("main")).drop("main"), "rare-lists")
+        # members of a list's largest component meet those outside, these meet all
+        sides = F.when(F.col("inside"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+        x, y = rows.filter("short").withColumn("side", F.explode(sides)).alias("x"), rows.alias("y")
+        met = x.join(
+            y.hint("merge"),
+            (F.col("x.token") == F.col("y.token")) & (F.col("x.side") == F.col("y.inside"))
+            & (F.col("x.component") != F.col("y.component"))
+            & (F.col("x.n") <= F.col("y.n")) & (100 * F.col("x.n") >= self.percent * F.col("y.n")),
+        )
+        return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
     def run(self) -> DataFrame:
         """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
         for number in range(HUB_ROUNDS):
             self.hub_round(number)
-        self.last_round()
+        if self.exact:
+            self.merge(self.confirmed(self.meet_by_shingles(self.components.select("cid"))))
+        else:
+            self.last_round()
         of_class = self.classes.join(self.components.withColumnRenamed("cid", "__cid"), F.col("cid") == F.col("__cid"), "left")
         of_class = of_class.select("key", F.coalesce("component", "cid").alias("component"))
         rows = self.profiles.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
@@ -279,7 +358,7 @@ class NearDuplicates:
         return rows.select("doc_id", "n_shingles", F.coalesce(found, "doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): the component of near-duplicates it belongs to.
 
     Words are what stands between ASCII white space, A-Z in lower case; a set holds the distinct shingles of
@@ -288,9 +367,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reachable), kept (doc_id = component_id). Texts without words, NULL ones too, are linked with nothing. Rows
     without doc_id are linked with nothing either, have no component_id and are kept. Rows that share a doc_id
     are one document with several texts, linked by any of them. Other columns are not looked at; an empty table
-    gives no rows.
+    gives no rows. ``exact`` finds the links that signatures miss (see the module's text) by another pass over
+    all shingle sets.
     """
-    rows = NearDuplicates(docs, width, percent).run()
+    rows = NearDuplicates(docs, width, percent, exact).run()
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

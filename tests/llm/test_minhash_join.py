@@ -11,6 +11,7 @@ from shipcause.llm.components import connected_components
 from shipcause.llm.minhash_join import COUNTED, POSTED, WordHashes, drop_near_duplicates, minima, near_duplicates, shingle_hashes, threshold
 
 FOLDER = "/root/testdata/sf0.001"
+AROUND = [6, 9, 10, 11, 12, 14, 18, 30]
 
 
 def shingles(text, width):
@@ -86,6 +87,43 @@ def test_large_group_of_near_copies_and_a_shared_passage(spark, monkeypatch, bro
     assert got(near_duplicates(docs, 3, 85)) == want(list(enumerate(rows)), 3, 85)
 
 
+def template_pages(n, own, seed=5):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(4000)]
+    base, pages = r.choices(words, k=110), []
+    for i in range(n):
+        page = base[:60] + [f"p{i}x{j}" for j in range(r.choice(own))] + base[60:]
+        pages.append(" ".join(page))
+        if i % 5 == 0:  # a copy with another last word, linked with the page but not with others
+            pages.append(" ".join([*page[:-1], f"q{i}"]))
+    r.shuffle(pages)
+    return list(enumerate(pages))
+
+
+@pytest.mark.parametrize(("own", "exact"), [([18], False), (AROUND, False), (AROUND, True)])
+def test_pages_of_one_template(spark, monkeypatch, own, exact):
+    """Alike but mostly not enough: long lists, all members unconnected; sizes and similarities around the limit."""
+    monkeypatch.setattr(minhash_join, "LONG_LIST", 8)
+    rows = template_pages(120, own)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_duplicates(docs, exact=exact)) == want(rows, 5, 80)
+
+
+def test_pages_of_one_template_meet_few_others(spark):
+    rows = template_pages(200, [18])
+    search = minhash_join.NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert search.meet_by_shingles(search.components.select("cid")).count() == 40  # of 28,680 pairs
+
+
+def test_exact(spark, odd_docs, no_docs):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert got(near_duplicates(docs, 3, 85, exact=True)) == want(rows, 3, 85)
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    assert got(near_duplicates(odd_docs, 3, 85, exact=True)) == want(rows, 3, 85)
+    assert near_duplicates(no_docs, exact=True).collect() == []
+
+
 def test_dropped_rows_keep_their_columns(spark):
     rows = [(1, "a b c d e f g h i j", "x"), (2, "a b c d e f g h i j", "y"), (3, "z y x w v", "x"), (4, None, "n"), (None, "a b c d e f g h i j", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
