@@ -175,11 +175,18 @@ def rare_shingles(sets: DataFrame, crowd: np.ndarray, percent: int) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for cid, shingles in batch.itertuples(index=False):
-                n = len(shingles)
-                as_larger, as_smaller = n + 1 - -(-percent * n // 100), n + 1 - -(-2 * percent * n // (100 + percent))
-                first = np.lexsort((shingles, crowd[shingles & (BUCKETS - 1)]))[: min(n, as_larger)]
-                yield pd.DataFrame({"cid": cid, "n": n, "token": shingles[first], "short": np.arange(len(first)) < as_smaller})
+            for at in range(0, len(batch), ROWS_PER_BATCH):
+                part = batch.iloc[at : at + ROWS_PER_BATCH]
+                tokens, short = [], []
+                for shingles in part["shingles"]:
+                    n = len(shingles)
+                    as_larger, as_smaller = n + 1 - -(-percent * n // 100), n + 1 - -(-2 * percent * n // (100 + percent))
+                    first = np.lexsort((shingles, crowd[shingles & (BUCKETS - 1)]))[: min(n, as_larger)]
+                    tokens.append(shingles[first])
+                    short.append(np.arange(len(first)) < as_smaller)
+                rows = pd.DataFrame({"cid": part["cid"], "n": part["shingles"].map(len)})
+                rows = rows.loc[rows.index.repeat([len(t) for t in tokens])]
+                yield rows.assign(token=np.concatenate(tokens), short=np.concatenate(short))
 
     return sets.select("cid", "shingles").mapInPandas(run, "cid bigint, n bigint, token bigint, short boolean")
 
