@@ -282,18 +282,27 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
-    """Logistic regression with an unpenalised offset, by Newton steps."""
+    """Logistic regression with an unpenalised offset, by Newton steps, halved until the penalised loss falls."""
     design = np.column_stack([x, np.ones(len(x))])
     penalty = ridge * np.diag([1.0] * x.shape[1] + [1e-6])
     beta = np.zeros(design.shape[1])
     beta[-1] = math.log((y.sum() + 1) / ((1 - y).sum() + 1))
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+
+    def loss(b: np.ndarray) -> float:
+        z = design @ b
+        return float(np.logaddexp(0, z).sum() - y @ z + b @ penalty @ b / 2)
+
+    now = loss(beta)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
         hessian = (design * (p * (1 - p))[:, None]).T @ design + penalty + 1e-9 * np.eye(len(beta))
         step = np.linalg.solve(hessian, design.T @ (y - p) - penalty @ beta)
-        beta += np.clip(step, -3, 3)
+        while abs(step).max() >= 1e-8 and loss(beta + step) > now:
+            step /= 2
         if abs(step).max() < 1e-8:
             break
+        beta += step
+        now = loss(beta)
     return beta.tolist()
 
 

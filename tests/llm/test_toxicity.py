@@ -2,11 +2,12 @@ import math
 import random
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shipcause.llm.toxicity import (
-    FIXED_WEIGHT, SYMBOLS, Lexicon, drop_toxic, fit, fitted, grammar, inflected, machines, op1_clause_toxicity, toxicity_scores,
+    FIXED_WEIGHT, SYMBOLS, Lexicon, drop_toxic, fit, fit_curve, fitted, grammar, inflected, machines, op1_clause_toxicity, toxicity_scores,
 )
 
 FOLDER = "/root/testdata/sf0.01"
@@ -113,3 +114,19 @@ def test_without_labels(spark, odd_docs):
     assert model.score("a fine day") < 0.5 < model.score("you stupid idiot. worthless scum, you loser")
     one_kind = odd_docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("y"))
     assert fit(one_kind).score("a fine day") < 0.5
+
+
+def test_curve_where_whole_newton_steps_overshoot():
+    # a few clean texts with very heavy clauses
+    random = np.random.default_rng(0)
+    y = (np.arange(2000) < 100).astype(float)
+    some = (y == 1) | (random.random(2000) < 0.3)
+    most = np.where(y == 1, random.uniform(5, 12, 2000), random.uniform(1, 3, 2000)) * some
+    most[-5:] = 60
+    count = np.where(y == 1, random.integers(1, 9, 2000), 1) * (most > 0)
+    x = np.column_stack([np.log1p(most * count), most, np.log1p(count), 0.7 * (most > 0)])
+    curve = np.array(fit_curve(x, y))
+    design = np.column_stack([x, np.ones(2000)])
+    p = 1 / (1 + np.exp(-design @ curve))
+    assert p[y == 1].min() > np.quantile(p[y == 0], 0.99)
+    assert abs(design.T @ (p - y) + 0.5 * curve * [1, 1, 1, 1, 1e-6]).max() < 1e-4  # the least of the penalised loss
