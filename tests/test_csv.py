@@ -15,7 +15,7 @@ from shipcause.operators.insights import insights_by
 from shipcause.plans.model import open_model, refresh
 from shipcause.sources import records, versions
 from shipcause.sources.records import cell_count
-from shipcause.sources.tables import RejectedRows, load_csv, load_csv_folder, load_csv_tables, read_csv
+from shipcause.sources.tables import RejectedRows, load_csv, load_csv_folder, load_csv_tables, profiles, read_csv
 from tests.test_sources import FILES
 
 SMALL_SPLITS = {
@@ -214,3 +214,31 @@ def test_versions(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "versions").iterdir()) == sorted(n.rsplit("/", 1)[-1] for n in names[2:])
     versions.prune(spark, folder, keep=0)
     assert versions.current(spark, folder) == names[3]
+
+
+def test_files_without_quotes_are_cut_without_python(spark, tmp_path, small_splits):
+    (tmp_path / "in").mkdir()
+    for part in range(3):
+        lines = [f"{part}-{i},{i},{'x' * (i % 40)}" for i in range(200)]
+        (tmp_path / "in" / f"part-{part}.csv").write_text("\n".join(["a,b,c", *lines, ""]))
+    cut = records.csv_records(spark, [f"{tmp_path}/in"]).cut
+    assert "MapInArrow" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.select("block").distinct().count() > 3
+    rows = read_csv(spark, f"{tmp_path}/in").orderBy("load_seq").collect()
+    assert [(r.a, r.b, r.c) for r in rows] == [(f"{p}-{i}", str(i), "x" * (i % 40) or None) for p in range(3) for i in range(200)]
+    assert [r.load_seq for r in rows] == [p * 201 + i + 1 for p in range(3) for i in range(200)]
+
+
+def test_types_of_all_tables_in_one_job(spark, tmp_path):
+    late = [("", "x")] * 1500 + [("2025-08-01", "y")]  # the only date is far down
+    df = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(late)], "order_id int, order_date string, city string").coalesce(1)
+    found = profiles({"raw_orders": df, "raw_feedback": df.selectExpr("city as order_id", "'none' as created_at")})
+    assert found["raw_orders"].dates == {"order_date": True} and found["raw_orders"].texts == {"order_id": 0}
+    assert found["raw_feedback"].dates == {"created_at": False} and found["raw_feedback"].texts == {"order_id": 1501}
+
+
+def test_schema_log_does_not_check_values_of_the_declared_type(spark):
+    df = spark.createDataFrame([(1, "x"), (None, "NA")], "driver_id long, driver_name string")
+    log = quality.schema_log({"dim_drivers": df})
+    assert "TRY" not in log._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert {r.column_name: r.rejected for r in log.collect()} == {"driver_id": 0, "created_at": None}
