@@ -24,6 +24,8 @@ from shipcause.llm.common import ship_package, table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens up to so many characters are remembered, twice so many of them at most per worker.
 REMEMBERED_CHARS, REMEMBERED = 48, 300_000
+#: Texts that are encoded at once.
+ROWS_AT_ONCE = 500
 BIT = [1 << i for i in range(4096)]
 
 
@@ -161,15 +163,20 @@ def decode_ids(ids: Column, vocabulary: str = VOCABULARY) -> Column:
     return decode(F.coalesce(ids, F.lit(b"")))
 
 
+def coded_blocks(own: Codec, batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """``ids`` and ``decoded`` of all texts, a few hundred rows at once: a worker holds no more results than that."""
+    for texts in batches:
+        for at in range(0, len(texts), ROWS_AT_ONCE):
+            ids = [own.encode(t) for t in texts.iloc[at : at + ROWS_AT_ONCE]]
+            yield pd.DataFrame({"ids": ids, "decoded": [own.decode(x) for x in ids]}, dtype=object)
+
+
 def coded(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """``ids`` of a string column and what they decode to, ``decoded``, as a struct: both in one pass."""
 
     @F.pandas_udf("ids binary, decoded binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(vocabulary)
-        for texts in batches:
-            ids = [own.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": ids, "decoded": [own.decode(x) for x in ids]}, dtype=object)
+        yield from coded_blocks(codec(vocabulary), batches)
 
     return run(F.coalesce(text, F.lit("")))
 

@@ -55,3 +55,14 @@ def test_documents(spark, odd_docs, no_docs, reference):
     assert round_trip(no_docs).collect() == []
     assert all(bytes(r.decoded).decode() == (t or "") for r, t in zip(encode_documents(odd_docs).collect(), [r.text for r in odd_docs.collect()], strict=True))
     assert op10_byte_bpe(spark, FOLDER).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_results_leave_in_blocks():
+    import pandas as pd
+
+    from shipcause.llm.bpe import ROWS_AT_ONCE, VOCABULARY, codec, coded_blocks
+
+    texts = pd.Series([f"text {i} é" for i in range(ROWS_AT_ONCE * 2 + 3)])
+    blocks = list(coded_blocks(codec(VOCABULARY), iter([texts, texts[:0], texts[:1]])))
+    assert [len(b) for b in blocks] == [ROWS_AT_ONCE, ROWS_AT_ONCE, 3, 1]
+    assert [x.decode() for b in blocks for x in b["decoded"]] == [*texts, texts[0]]
