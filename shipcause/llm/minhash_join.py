@@ -170,25 +170,26 @@ def crowds(sets: DataFrame) -> np.ndarray:
 
 
 def rare_shingles(sets: DataFrame, crowd: np.ndarray, percent: int) -> DataFrame:
-    """``cid``, ``n``, ``token``, ``short``: the rarest 1-s of each set's ``n`` shingles, rarity by ``crowd`` and
-    then by value; ``short`` marks those that it also shows as the smaller one of two."""
+    """``cid``, ``n``, ``token``, ``place``, ``short``: the rarest 1-s of each set's ``n`` shingles, rarity by ``crowd``
+    and then by value, ``place`` from 0; ``short`` marks those that it also shows as the smaller one of two."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), ROWS_PER_BATCH):
                 part = batch.iloc[at : at + ROWS_PER_BATCH]
-                tokens, short = [], []
+                tokens, places, short = [], [], []
                 for shingles in part["shingles"]:
                     n = len(shingles)
                     as_larger, as_smaller = n + 1 - -(-percent * n // 100), n + 1 - -(-2 * percent * n // (100 + percent))
                     first = np.lexsort((shingles, crowd[shingles & (BUCKETS - 1)]))[: min(n, as_larger)]
                     tokens.append(shingles[first])
+                    places.append(np.arange(len(first)))
                     short.append(np.arange(len(first)) < as_smaller)
                 rows = pd.DataFrame({"cid": part["cid"], "n": part["shingles"].map(len)})
                 rows = rows.loc[rows.index.repeat([len(t) for t in tokens])]
-                yield rows.assign(token=np.concatenate(tokens), short=np.concatenate(short))
+                yield rows.assign(token=np.concatenate(tokens), place=np.concatenate(places), short=np.concatenate(short))
 
-    return sets.select("cid", "shingles").mapInPandas(run, "cid bigint, n bigint, token bigint, short boolean")
+    return sets.select("cid", "shingles").mapInPandas(run, "cid bigint, n bigint, token bigint, place bigint, short boolean")
 
 
 def threshold(coordinates: int, percent: int, miss: float = MISS) -> int:
@@ -342,11 +343,15 @@ class NearDuplicates:
         # members of a list's largest component meet those outside, these meet all
         sides = F.when(F.col("inside"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
         x, y = rows.filter("short").withColumn("side", F.explode(sides)).alias("x"), rows.alias("y")
+        smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
+        # of the first shingle that two sets have in common, none before it is, so they share what is left at most;
+        # pairs that are similar enough have enough left there, whatever they have at later ones
+        left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
         met = x.join(
             y.hint("merge"),
             (F.col("x.token") == F.col("y.token")) & (F.col("x.side") == F.col("y.inside"))
             & (F.col("x.component") != F.col("y.component"))
-            & (F.col("x.n") <= F.col("y.n")) & (100 * F.col("x.n") >= self.percent * F.col("y.n")),
+            & smaller & ((100 + self.percent) * left >= self.percent * (F.col("x.n") + F.col("y.n"))),
         )
         return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 

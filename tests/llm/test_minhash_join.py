@@ -115,6 +115,23 @@ def test_pages_of_one_template_meet_few_others(spark):
     assert search.meet_by_shingles(search.components.select("cid")).count() == 40  # of 28,680 pairs
 
 
+def test_copies_just_below_the_limit_meet_few_others(spark):
+    """Many copies of one text with two words changed, and as many with six: the latter are like none of the others."""
+    r = random.Random(6)
+    base, rows = r.sample([f"w{i}" for i in range(4000)], 150), []
+    for i in range(160):
+        copy = list(base)
+        for at in r.sample(range(0, 150, 4), 2 if i % 2 else 6):
+            copy[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    search = minhash_join.NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    met = search.meet_by_shingles(search.components.select("cid")).collect()
+    sets = [shingles(t, 3) for _, t in rows]
+    links = {(a, b) for a, b in combinations(range(160), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert links <= {(x.a, x.b) for x in met} and len(links) > 3000
+    assert len(met) - len(links) < 200  # of 9,560 pairs that are no links
+
+
 def test_exact(spark, odd_docs, no_docs):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
