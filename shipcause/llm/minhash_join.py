@@ -15,6 +15,7 @@
    the larger one has s of its own: in one order of all shingles, rare ones first, the first common one stands
    among the first (1-s)/(1+s) of the smaller set and the first 1-s of the larger one. Two pages that fall short
    of s by their own words have more of these than the smaller one's part, so they never meet.
+   Its places in both sets bound what is left for them to share, and pairs without enough left do not meet.
 
 A link is missed only if its collisions fall below the threshold (odds MISS at exactly the limit, far less
 above it); none is dropped for the length of a list or the number of partners. On request step 5 takes all
