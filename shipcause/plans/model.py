@@ -13,7 +13,7 @@ from shipcause.operators.feedback import feedback_summary_model, feedback_text,
 from shipcause.operators.firsts import worst_factor
 from shipcause.operators.measures import cause_counts, model_stats
 from shipcause.sources.presence import require_sources
-from shipcause.sources.store import write_table
+from shipcause.sources.store import write_table, write_tables
 from shipcause.sources.tables import load_csv_tables, load_parquet_tables, register_views, row_counts
 from shipcause.sources.versions import current, discard, new_version, prune, publish
 
@@ -74,7 +74,8 @@ def refresh(
     version = new_version(folder)
     try:
         loaded = load_csv_tables(spark, data_folder, formats, on_reject)
-        save_model({name: write_table(df, f"{version}/{name}") for name, df in loaded.items()}, version)
+        written = write_tables({f"{version}/{name}": df for name, df in loaded.items()})
+        save_model(dict(zip(loaded, written.values())), version)
     except BaseException:
         discard(spark, version)
         raise

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 import shipcause.plans.model as model_module
 from shipcause.fixed import TABLE_FILES
+from shipcause.functions.values import normalize_missing
 from shipcause.operators import quality
 from shipcause.operators.fact import build_fact
 from shipcause.operators.insights import insights_by
 from shipcause.plans.model import open_model, refresh
 from shipcause.sources import records, versions
 from shipcause.sources.records import cell_count
-from shipcause.sources.tables import RejectedRows, load_csv, load_csv_folder, load_csv_tables, profiles, read_csv
+from shipcause.sources.tables import RejectedRows, load_csv, load_csvs, load_csv_folder, load_csv_tables, profiles, read_csv
 from tests.test_sources import FILES
 
 SMALL_SPLITS = {
@@ -242,3 +243,39 @@ def test_schema_log_does_not_check_values_of_the_declared_type(spark):
     log = quality.schema_log({"dim_drivers": df})
     assert "TRY" not in log._jdf.queryExecution().optimizedPlan().toString().upper()
     assert {r.column_name: r.rejected for r in log.collect()} == {"driver_id": 0, "created_at": None}
+
+
+def test_plain_records_are_cut_as_the_parser_cuts_them(spark, tmp_path):
+    """Without quotes generated code cuts cells: white space, marks, control characters, empty cells and short records."""
+    rng = random.Random(3)
+    for sep in (",", "|", "\t"):
+        lines = ["".join(rng.choice(sep * 2 + "ab é#\0\r\\'") for _ in range(rng.randint(0, 9))) + "." for _ in range(300)]
+        folder = tmp_path / f"in{ord(sep)}"
+        folder.mkdir()
+        (folder / "0.csv").write_text("\n".join([sep.join("abcd"), *lines]), newline="", encoding="utf-8-sig")
+        (folder / "1.csv").write_text("\n".join([sep.join("abcd"), sep.join("1234")]), newline="")
+        found = load_csv(spark, str(folder), delimiter=sep)
+        split = {i: line.count(sep) + 1 for i, line in enumerate(lines, 1)}
+        text = spark.createDataFrame([(i, line) for i, line in enumerate(lines, 1) if split[i] <= 4], "n long, t string")
+        cells = text.select("n", F.from_csv("t", "a string, b string, c string, d string", {"sep": sep, "escape": '"'}).alias("r")).collect()
+        assert {(r.load_seq, *r[:4]) for r in found.rows.collect()} == {(r.n, *r.r) for r in cells} | {(302, *"1234")}
+        assert {(r.position, r.reason, r.cells) for r in found.rejects.collect()} == {(i, "surplus cells", n) for i, n in split.items() if n > 4}
+
+
+def test_each_table_is_cut_into_files_of_its_own(spark, tmp_path):
+    """One folder for all would deal a table's files to a few tasks, beside those of the others."""
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("id,x\n" + "".join(f"{i},NA\n" for i in range(50)))
+    loads = load_csvs(spark, {name: str(tmp_path / f"{name}.csv") for name in ("a", "b")})
+    files = {name: set(load.rows.inputFiles()) for name, load in loads.items()}
+    assert files["a"] and files["b"] and not files["a"] & files["b"]
+
+
+def test_missing_values_are_one_lookup_a_cell(spark):
+    """A comparison per token and column does not fit in generated code: interpreted, it took most of a load."""
+    columns = [f"c.{i}" for i in range(12)]
+    df = spark.createDataFrame([tuple(["NA", None, "x", "", " NA"] * 3)[:12]], ", ".join(f"`{c}` string" for c in columns))
+    got = normalize_missing(df)
+    assert got.columns == columns and got.first()[:5] == (None, None, "x", None, " NA")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") <= len(columns)
