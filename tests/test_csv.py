@@ -1,6 +1,7 @@
 """CSV files in splits, records that do not fit, ids that are texts, and versions of a model."""
 
 import csv
+import gzip
 import io
 import random
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import shipcause.plans.model as model_module
+from checks import queries
 from shipcause.fixed import TABLE_FILES
 from shipcause.functions.values import normalize_missing
 from shipcause.operators import quality
@@ -16,7 +18,9 @@ from shipcause.operators.insights import insights_by
 from shipcause.plans.model import open_model, refresh
 from shipcause.sources import records, versions
 from shipcause.sources.records import cell_count
+from shipcause.sources.store import write_csv
 from shipcause.sources.tables import RejectedRows, load_csv, load_csvs, load_csv_folder, load_csv_tables, profiles, read_csv
+from tests.fixtures import tables
 from tests.test_sources import FILES
 
 SMALL_SPLITS = {
@@ -279,3 +283,41 @@ def test_missing_values_are_one_lookup_a_cell(spark):
     assert got.columns == columns and got.first()[:5] == (None, None, "x", None, " NA")
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") <= len(columns)
+
+
+def test_written_csv_is_compressed_in_bounded_parts(spark, tmp_path, small_splits):
+    """A part is read whole by one task; the order of rows goes over parts, and quotes within them."""
+    df = spark.range(1000).selectExpr("id", "if(id % 7 = 0, concat('a \"', id, '\",\\n'), 'plain plain plain') as text")
+    path = write_csv(df.orderBy("id"), str(tmp_path / "t.csv"), "gzip", rows_per_file=90)
+    parts = sorted((tmp_path / "t.csv").glob("part-*"))
+    assert len(parts) >= 12 and {p.suffix for p in parts} == {".gz"}
+    assert sum(p.stat().st_size for p in parts) < sum(len(gzip.decompress(p.read_bytes())) for p in parts) / 2
+    assert max(gzip.decompress(p.read_bytes()).count(b"plain plain") for p in parts) <= 90
+    got = read_csv(spark, path).orderBy("load_seq").collect()
+    assert [(int(r.id), r.text) for r in got] == [tuple(r) for r in df.orderBy("id").collect()]
+    assert write_csv(df, str(tmp_path / "plain.csv")) and {p.suffix for p in (tmp_path / "plain.csv").glob("part-*")} == {".csv"}
+
+
+@pytest.mark.parametrize("name", ["csv_dated_tables", "load_row_counts", "dq_schema"])
+def test_tables_written_as_csv_leave_little_on_disk(spark, tmp_path, monkeypatch, name):
+    """Plain text of all tables is many times their size; compressed, all rows come back in their order."""
+    day = "2025-08-01 09:00:00"
+    small = tables(
+        spark,
+        raw_orders=[{"order_id": i, "client_id": 1, "amount": 1.5, "order_date": day} for i in range(1, 301)],
+        raw_feedback=[{"order_id": i, "rating": "4", "feedback_text": 'two\n"lines"', "created_at": day} for i in range(1, 201)],
+    )
+    monkeypatch.setattr(queries, "load_tables", lambda *_: small)
+    monkeypatch.setattr(queries, "new_folder", lambda *_: str(tmp_path / "csv"))
+    found = [r.asDict() for r in queries.QUERIES[name](spark, "").collect()]
+    parts = {t: list((tmp_path / "csv" / file).glob("part-*")) for t, file in TABLE_FILES.items()}
+    assert {p.suffix for of in parts.values() for p in of} == {".gz"}
+    assert sum(p.stat().st_size for p in parts["raw_orders"]) * 4 < sum(len(gzip.decompress(p.read_bytes())) for p in parts["raw_orders"])
+    if name == "load_row_counts":
+        assert {r["table_name"]: r["row_count"] for r in found if r["row_count"]} == {"raw_orders": 300, "raw_feedback": 200}
+    elif name == "dq_schema":
+        assert {(r["table_name"], r["column_name"]): r["rejected"] for r in found if r["rejected"]} == {("raw_orders", "amount"): 15}
+    else:
+        dates = sorted((r["table_name"], r["key"], r["column_name"], r["value"]) for r in found if r["value"])
+        want = [("raw_feedback", i, "created_at", day) for i in range(1, 201)] + [("raw_orders", i, "order_date", day) for i in range(1, 301)]
+        assert dates == want
